@@ -59,6 +59,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         .distinct()
     )
     e = materialize(e, "cc-edges")
+    if e.isEmpty():
+        return e.select(F.col("a").alias("vertex"), F.col("a").alias("component"))
     state = None
     for _ in range(max_rounds):
         nxt = materialize(_small_star(_large_star(e)), "cc-round")
