@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simloom.llm import minhash
+from simloom.llm import bpe, html_extract, license_scan, minhash, quality
+
+#: Rank file of the query; the operator takes any path.
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +20,28 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_docs(spark, sf_dir), width=3, num=85, den=100)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_docs(spark, sf_dir))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality.judged(_docs(spark, sf_dir)).select(*columns)
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encoded(_docs(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_license_scan, op4_quality_rules, op7_html_extraction, op8_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_license_scan": license_scan.oracle_sql(), "op4_quality_rules": quality.ORACLE}
