@@ -13,13 +13,13 @@ A document's set is its distinct word shingles, hashed once; its sketch is the
 3. star: in every list each member is paired with the most central one
    (fewest lone shingles), filtered by the union-sketch estimate and verified
    on the full sets. Connected components follow.
-4. remaining pairs of a list are formed only between different components and
-   only where the bound from sizes and lone shingles still allows a link,
-   then estimated and verified the same way.
+4. components that still meet in a list are compared in blocks of bounded
+   size, two blocks a task, on the full sets; a task returns only links that
+   join two components.
 
-So a group of thousands of near copies costs about one pair a member and list,
-no list is capped, and only the pairs that could still join two components
-are looked at. Two sets of at most ``k`` shingles always meet in a list; for
+So a group of thousands of near copies costs about one pair a member and list
+plus a few matrix products, no list is capped, and no list of all pairs is
+ever written. Two sets of at most ``k`` shingles always meet in a list; for
 larger ones the chance of sharing no run of three at similarity 0.85 is
 below 1e-8.
 """
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,8 @@ SKETCH = 64
 BROADCAST_IDS = 2_000_000
 #: Sets of fewer shingles are also filed under each single value.
 SMALL = 12
+#: Classes and shingles of a block; two blocks meet in a task. Columns of a matrix product.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 2_000_000, 4096
 #: A candidate's estimate may fall this far short before verification.
 ESTIMATE_FLOOR = 0.5
 
@@ -98,6 +101,64 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, k: int) -> Da
     return estimated.where(_enough(inter, F.col("n_a"), F.col("n_b"), num, den)).select("a", "b").distinct()
 
 
+def _links_of_block(frame: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Links between different components among the two blocks of sets in ``frame``; a spanning part of them suffices."""
+    lengths = frame["shingles"].map(len).to_numpy()
+    values = np.concatenate(frame["shingles"].to_list()) if len(frame) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(frame)), lengths)
+    kinds, at, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = times[at] > 1
+    owner, at = owner[shared], (np.cumsum(times > 1) - 1)[at[shared]]
+    inter = np.zeros((len(frame), len(frame)), dtype=np.float32)
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    for low in range(0, int((times > 1).sum()), COLUMNS):
+        part = slice(*np.searchsorted(at, [low, low + COLUMNS]))
+        dense = np.zeros((len(frame), COLUMNS), dtype=np.float32)
+        dense[owner[part], at[part] - low] = 1
+        inter += dense @ dense.T
+    v, comp = frame["v"].to_numpy(), frame["comp"].to_numpy()
+    near = inter * den >= (lengths[:, None] + lengths[None, :] - inter) * num
+    x, y = np.nonzero(near & (comp[:, None] < comp[None, :]))
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = root.get(up, up)
+            c = up
+        return c
+
+    out = []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        p, q = find(comp[i]), find(comp[j])
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((v[i], v[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _between_components(labelled: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links that join two components, among classes that meet in a list.
+
+    Components that meet in some list form a cluster. A cluster is dealt into
+    blocks of bounded size and every two blocks meet in one task, which
+    compares all its sets by matrix products and returns only links that still
+    join something: no list of pairs is ever written.
+    """
+    keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "lo")
+    still = labelled.join(keys, "key").select("v", "n", "comp", "lo")
+    still = materialize(still.distinct(), "open")
+    clusters = connected_components(still.select(F.col("comp").alias("a"), F.col("lo").alias("b")).distinct())
+    members = still.select("v", "n", "comp").distinct().join(clusters, F.col("comp") == F.col("vertex")).select("v", "n", "comp", F.col("component").alias("cluster"))
+    members = materialize(members, "clusters")
+    blocks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    dealt = members.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("i"), F.greatest(i, F.col("own")).alias("j")))
+    met = dealt.withColumn("m", F.explode(meets)).select("v", "comp", "cluster", "m.i", "m.j")
+    filled = met.join(sets.select("v", "shingles"), "v")
+    return filled.groupBy("cluster", "i", "j").applyInPandas(lambda f: _links_of_block(f, num, den), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, k: int = SKETCH) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
@@ -160,21 +221,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     labelled = filed.join(labels, filed.v == labels.vertex, "left").select("key", "v", "n", "n_min", "lone", F.coalesce("component", "v").alias("comp"))
     labelled = materialize(labelled, "labelled")
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    still = labelled.join(open_keys, "key", "left_semi")
-    x, y = still.alias("x"), still.alias("y")
-    one_set = (F.col("x.n") == F.col("x.n_min")) & (F.col("y.n") == F.col("y.n_min"))
-    best = F.least(F.col("x.n") - F.col("x.lone"), F.col("y.n") - F.col("y.lone"))
-    least_union = F.greatest(F.col("x.n") + F.col("y.lone"), F.col("y.n") + F.col("x.lone"))
-    rest = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.v") < F.col("y.v")) & (F.col("x.comp") != F.col("y.comp")) & (~one_set | (best * den >= least_union * num)))
-        .groupBy(F.col("x.v").alias("a"), F.col("y.v").alias("b"), F.least("x.n", "y.n").alias("n"))
-        .agg(F.count(F.lit(1)).alias("c"))
-        .where(F.col("c") >= need)
-        .select("a", "b")
-        .distinct()
-    )
-    more = materialize(_verify(rest, sets, num, den, k), "more-links")
+    more = materialize(_between_components(labelled, sets, num, den), "more-links")
     # Rows of one doc_id with different texts hold their classes together.
     spread = members.groupBy("doc_id").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a < b").select("doc_id", "a")
     same_id = members.join(spread, "doc_id").select("a", F.col("v").alias("b")).where("a <> b")
