@@ -41,7 +41,7 @@ from simloom.scratch import materialize, scratch_dir
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
 #: Text bytes a bucket of the slice table, names a range.
-BUCKET_BYTES, RANGE_NAMES = 16 << 20, 1 << 20
+BUCKET_BYTES, RANGE_NAMES = 16 << 20, 1 << 18
 SHALLOW = 3
 
 
