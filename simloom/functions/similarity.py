@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def multiset(df: DataFrame, keys: list[str], token: str) -> DataFrame:
@@ -45,6 +46,6 @@ def lcs_similarity(a: list, b: list) -> float:
     return 2 * lcs_length(a, b) / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lcs_similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

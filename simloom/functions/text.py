@@ -66,7 +66,7 @@ def rename_identifiers(c: Column, rename_single: bool = False) -> Column:
     stays = lambda w: F.lower(w).isin(KEPT) | ((F.length(w) <= 1) & F.lit(not rename_single)) | ((w == F.upper(w)) & (F.length(w) > 1))
     order = F.array_distinct(F.filter(words, lambda w: ~stays(w)))
     named = F.transform(words, lambda w: F.when(stays(w), w).otherwise(F.concat(F.lit("ID_"), F.array_position(order, w).cast("string"))))
-    return F.array_join(F.zip_with(gaps, F.concat(named, F.array(F.lit(""))), F.concat), "")
+    return F.array_join(F.zip_with(gaps, F.concat(named, F.array(F.lit(""))), lambda g, w: F.concat(g, w)), "")
 
 
 def type1_text(stmts: Column, ignore_types: bool = False, ignore_decorators: bool = False) -> Column:
@@ -142,7 +142,7 @@ def union_parts(c: Column) -> Column:
 
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("now"), F.lit(0).alias("angle"), F.lit(0).alias("paren"))
     parts = F.aggregate(F.split(bare, ""), start, step, lambda s: F.concat(s["parts"], F.array(s["now"])))
-    return F.filter(F.transform(parts, trimmed), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda p: trimmed(p)), lambda p: p != "")
 
 
 def unwrapped(c: Column, levels: int = 6) -> Column:
@@ -156,7 +156,7 @@ def is_ignored_type(c: Column) -> Column:
     """Empty, unknown, synthetic or built-in types; a union counts if all its parts do."""
     one = lambda p: p.startswith("%") | (p == "unknown") | F.lower(p).isin(IGNORED_TYPES)
     parts = union_parts(c)
-    return F.coalesce(c == "", F.lit(True)) | F.forall(F.transform(parts, unwrapped), one)
+    return F.coalesce(c == "", F.lit(True)) | F.forall(F.transform(parts, lambda p: unwrapped(p)), one)
 
 
 def offset_line(text: Column, offset: Column) -> tuple[Column, Column]:
