@@ -61,7 +61,7 @@ def few_arguments(calls: DataFrame, class_name: str = "ForEach", method_name: st
 def log_lines(stmts: DataFrame) -> DataFrame:
     """``method, line`` of every line from a log statement up to the next statement, or the method's end."""
     order = Window.partitionBy("method").orderBy("idx")
-    until = F.coalesce(F.greatest(F.lead("line").over(order) - 1, F.col("line")), F.greatest(F.col("end_line"), F.col("line")))
+    until = F.greatest(F.coalesce(F.lead("line").over(order) - 1, F.col("end_line")), F.col("line"))
     logs = stmts.withColumn("until", until).where(T.is_log(F.col("text")))
     return logs.select("method", F.explode(F.sequence("line", "until")).alias("line")).distinct()
 

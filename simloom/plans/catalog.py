@@ -305,7 +305,7 @@ def q31_greedy_dedup(spark, sf):
     return fragments.greedy_dedup(fragments.drop_self_overlaps(_runs(spark, sf)))
 
 
-@query(rf"SELECT DISTINCT method, unnest(range(line, until + 1))::INTEGER AS line FROM (SELECT *, coalesce(greatest(lead(line) OVER (PARTITION BY method ORDER BY idx) - 1, line), greatest(end_line, line)) AS until FROM ({X.LOGGED})) WHERE regexp_matches(text, '(?is)^\s*(console|hilog|logger)\.\w+\s*\(.*\)\s*$')")
+@query(rf"SELECT DISTINCT method, unnest(range(line, until + 1))::INTEGER AS line FROM (SELECT *, greatest(coalesce(lead(line) OVER (PARTITION BY method ORDER BY idx) - 1, end_line), line) AS until FROM ({X.LOGGED})) WHERE regexp_matches(text, '(?is)^\s*(console|hilog|logger)\.\w+\s*\(.*\)\s*$')")
 def q32_log_lines(spark, sf):
     return metrics.log_lines(spark.sql(X.LOGGED))
 
@@ -385,7 +385,11 @@ def q44_strip(spark, sf):
     return spark.sql(X.STATEMENTS).select("id", T.strip_types(F.col("text")).alias("without_types"), T.strip_decorators(F.col("text")).alias("without_decorators"))
 
 
-@query("SELECT min(p_partkey) AS a, count(*)::BIGINT AS size, 'ID_1 ID_2|ID_3' AS content FROM part WHERE regexp_matches(p_name, '^[a-z]{2,} [a-z]{2,}$') AND split_part(p_name, ' ', 1) <> split_part(p_name, ' ', 2) AND regexp_matches(p_type, '^[A-Z]+$') HAVING false UNION ALL SELECT min(p_partkey), count(*)::BIGINT, p_type AS content FROM (SELECT p_partkey, 'ID_1 ID_2|' || p_type AS p_type FROM part WHERE split_part(p_name, ' ', 1) <> split_part(p_name, ' ', 2)) GROUP BY p_type")
+_KEPT = ", ".join(f"'{w}'" for w in T.KEPT)
+
+
+@query(f"""SELECT min(p_partkey) AS a, count(*)::BIGINT AS size, content FROM (SELECT p_partkey, CASE WHEN k1 THEN w1 ELSE 'ID_1' END || ' ' || CASE WHEN k2 THEN w2 WHEN k1 THEN 'ID_1' ELSE 'ID_2' END || '|' || p_type AS content
+FROM (SELECT p_partkey, p_type, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2, w1 IN ({_KEPT}) AS k1, w2 IN ({_KEPT}) AS k2 FROM part) WHERE w1 <> w2) GROUP BY content""")
 def q45_type2_groups(spark, sf):
     p = load(spark, sf, "part").where("split_part(p_name, ' ', 1) <> split_part(p_name, ' ', 2)").select("p_partkey", T.type2_text(F.array("p_name", "p_type")).alias("content"))
     return p.groupBy("content").agg(F.min("p_partkey").alias("a"), F.count(F.lit(1)).alias("size")).select("a", "size", "content")
