@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 SLICE_BYTES = 2 << 20
 _M = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -137,6 +138,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             part = batch.slice(at, to - at)
             yield part, texts(part.column(text))
             at = to
+    pa.default_memory_pool().release_unused()  # workers live on between tasks
 
 
 def shingles(h: np.ndarray, row: np.ndarray, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,3 +182,12 @@ def list_array(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     """Int64 lists of the given lengths."""
     off = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(off), pa.array(values, type=pa.int64()))
+
+
+def packed(data: bytes) -> bytes:
+    """Compressed bytes for a shuffle or a table."""
+    return zstandard.compress(data, 3)
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.decompress(data)

@@ -24,7 +24,6 @@ once a document. Nothing is capped or sampled.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -35,8 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.bytetext import Texts, sliced
-from simloom.scratch import materialize, scratch_dir
+from simloom.llm.bytetext import Texts, mix64, packed, sliced, unpacked
+from simloom.scratch import bucketed, materialize
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
@@ -152,7 +151,7 @@ class Runs:
         np.add.at(whole, t.off[:-1][long], 1)
         np.add.at(whole, t.off[1:][long] - LENGTH + 1, -1)
         at = np.flatnonzero(np.cumsum(whole)[: len(low)] > 0)
-        name, row = low[at], t.row_of(at)
+        name, row = mix64(low[at] + np.uint64(0x5DEECE66D)), t.row_of(at)  # smallest hashes crowd near zero; names are dealt by size
         new = np.ones(len(at), dtype=bool)
         new[1:] = (name[1:] != name[:-1]) | (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
         head = np.flatnonzero(new)
@@ -169,7 +168,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, t in sliced(batches, "text"):
         ids = part.column("doc_id").to_pylist()
         yield pa.RecordBatch.from_arrays(
-            [pa.array([part_id << 32 | seq]), pa.array([ids], pa.list_(pa.int64())), pa.array([np.diff(t.off)], pa.list_(pa.int64())), pa.array([t.buf.tobytes()], pa.binary())],
+            [pa.array([part_id << 32 | seq]), pa.array([ids], pa.list_(pa.int64())), pa.array([np.diff(t.off)], pa.list_(pa.int64())), pa.array([packed(t.buf.tobytes())], pa.binary())],
             names=["slice", "ids", "sizes", "data"],
         )
         seq += 1
@@ -183,7 +182,7 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             ids = row.column("ids")[0].values
             ids = np.where(ids.is_null().to_numpy(zero_copy_only=False), np.iinfo(np.int64).max, ids.fill_null(0).to_numpy(zero_copy_only=False))
             sizes = row.column("sizes")[0].values.to_numpy(zero_copy_only=False)
-            data = np.frombuffer(row.column("data")[0].as_buffer(), dtype=np.uint8)
+            data = np.frombuffer(unpacked(row.column("data")[0].as_py()), dtype=np.uint8)
             yield row, row.column("slice")[0].as_py(), ids, Texts(data, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
 
 
@@ -250,7 +249,7 @@ def _send_contexts(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[p
         for r, a, b in _bounds(runs.name[one], ranges):
             pick = one[a:b]
             text = b"".join(t.buf[s : e + LENGTH - 1].tobytes() for s, e in zip(runs.start[pick], runs.end[pick], strict=True))
-            out.append((r, number, (runs.end[pick] - runs.start[pick]).astype(np.int32).tobytes(), least[a:b].tobytes(), text))
+            out.append((r, number, (runs.end[pick] - runs.start[pick]).astype(np.int32).tobytes(), least[a:b].tobytes(), packed(text)))
         cols = list(zip(*out, strict=True)) if out else [[]] * 5
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["range", "slice", "counts", "least", "text"])
@@ -260,7 +259,7 @@ def _answer_contexts(frame: pd.DataFrame) -> pd.DataFrame:
     counts = [np.frombuffer(b, dtype=np.int32).astype(np.int64) for b in frame["counts"]]
     each = np.concatenate(counts)
     least = np.concatenate([np.frombuffer(b, dtype=np.int64) for b in frame["least"]])
-    buf = np.frombuffer(b"".join(frame["text"]), dtype=np.uint8)
+    buf = np.frombuffer(b"".join(map(unpacked, frame["text"])), dtype=np.uint8)
     off = np.concatenate([[0], np.cumsum(each + LENGTH - 1)])
     t = Texts(buf, off)
     digest = t.hashes(off[:-1], off[1:])
@@ -338,16 +337,7 @@ def suffix_dedup(docs: DataFrame, with_texts: bool = False) -> DataFrame:
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets, ranges = max(shuffles, -(-total // BUCKET_BYTES)), max(shuffles, -(-total // (13 * RANGE_NAMES)))
-    name = f"slices_{uuid.uuid4().hex}"
-    (
-        source.mapInArrow(_slices, "slice long, ids array<long>, sizes array<long>, data binary")
-        .repartition(buckets, "slice")
-        .write.bucketBy(buckets, "slice")
-        .option("path", f"{scratch_dir(spark)}/simloom/{name}")
-        .option("compression", "zstd")
-        .saveAsTable(name)
-    )
-    slices = spark.table(name)
+    slices = bucketed(source.mapInArrow(_slices, "slice long, ids array<long>, sizes array<long>, data binary"), "slice", buckets, "slices")
     sent = slices.mapInArrow(partial(_send_names, ranges=ranges), "range long, slice long, blob binary")
     bits = sent.groupBy("range").applyInPandas(_answer_names, "slice long, range long, blob binary")
     bits = materialize(bits, "shared-names")
