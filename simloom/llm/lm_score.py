@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.bytetext import sliced
-from simloom.scratch import materialize
+from simloom.llm.bytetext import packed, sliced, unpacked
+from simloom.scratch import bucketed, materialize
 
 #: Classes of the model: words by frequency, then other words, end of text, start of text.
 CLASSES = 128
@@ -40,6 +40,10 @@ SMOOTH = 0.1
 DIM, STEPS, BATCH, NOISE, RATE, SEED = 24, 900, 2048, 48, 0.15, 17
 #: Hash that stands for the end of a text.
 END_HASH = 0x7E57E4D
+#: A word's place in its slice and its count travel in one number.
+PLACE_BITS = 26
+PLACE = (1 << PLACE_BITS) - 1
+BUCKET_BYTES = 16 << 20
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -56,7 +60,11 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = np.concatenate([row, np.arange(t.rows)])
         order = np.argsort(row, kind="stable")  # a text's end after its words
         h, row = h[order], row[order]
-        kinds, at = np.unique(h, return_inverse=True)
+        kinds, at, times = np.unique(h, return_inverse=True, return_counts=True)
+        by_count = np.argsort(-times, kind="stable")  # frequent words get small numbers, which pack well
+        place = np.empty_like(by_count)
+        place[by_count] = np.arange(len(by_count))
+        kinds, at = kinds[by_count], place[at]
         ids = part.column("doc_id").to_pylist()
         out = np.array([held_out(d) for d in ids], dtype=bool)
         trained = np.bincount(at[~out[row]], minlength=len(kinds))
@@ -64,27 +72,34 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array([part_id << 32 | seq]), pa.array([ids], pa.list_(pa.int64())), pa.array([out.tolist()], pa.list_(pa.bool_())),
                 pa.array([t.per_row(row)], pa.list_(pa.int64())), pa.array([kinds.view(np.int64)], pa.list_(pa.int64())), pa.array([trained], pa.list_(pa.int64())),
-                pa.array([at.astype(np.uint32).tobytes()], pa.binary()),
+                pa.array([packed(at.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary()),
             ],
             names=["slice", "ids", "held", "lengths", "kinds", "trained", "words"],
         )
         seq += 1
 
 
-def _opened(batches: Iterator[pa.RecordBatch]):
+def _opened(batches: Iterator[pa.RecordBatch], top: np.ndarray):
     """Each slice: row, lengths, held flags, and per word kind its count and class."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1)
             lengths = row.column("lengths")[0].values.to_numpy(zero_copy_only=False)
             held = row.column("held")[0].values.to_numpy(zero_copy_only=False)
-            at = np.frombuffer(row.column("words")[0].as_buffer(), dtype=np.uint32)
-            known = row.column("known")[0].values
-            place = known.field("place").to_numpy(zero_copy_only=False)
-            count, cls = np.zeros(len(place), np.int64), np.full(len(place), OTHER, np.int64)
-            count[place] = known.field("count").to_numpy(zero_copy_only=False)
-            cls[place] = known.field("cls").to_numpy(zero_copy_only=False)
+            at = np.ascontiguousarray(np.frombuffer(unpacked(row.column("words")[0].as_py()), dtype=np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
+            kinds = row.column("kinds")[0].values.to_numpy(zero_copy_only=False)
+            known = np.array(row.column("known")[0].values.to_numpy(zero_copy_only=False) if row.column("known")[0].is_valid else [], dtype=np.int64)
+            count = np.zeros(len(kinds), np.int64)
+            count[known & PLACE] = known >> PLACE_BITS
+            order = np.argsort(top)
+            found = np.searchsorted(top, kinds, sorter=order) if len(top) else np.zeros(len(kinds), np.int64)
+            cls = np.full(len(kinds), OTHER, np.int64)
+            if len(top):
+                at_top = order[np.minimum(found, len(top) - 1)]
+                cls = np.where(top[at_top] == kinds, at_top, OTHER)
+            cls[kinds == END_HASH] = END
             yield row, lengths, held, count[at], cls[at]
+    pa.default_memory_pool().release_unused()
 
 
 def _contexts(cls: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +113,8 @@ def _contexts(cls: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     return two, one
 
 
-def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, lengths, held, _, cls in _opened(batches):
+def _triples(batches: Iterator[pa.RecordBatch], top: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for _, lengths, held, _, cls in _opened(batches, top):
         two, one = _contexts(cls, lengths)
         use = ~np.repeat(held, lengths)
         keys, n = np.unique((two[use] * CLASSES + one[use]) * CLASSES + cls[use], return_counts=True)
@@ -172,8 +187,8 @@ def train(triples: np.ndarray, counts: np.ndarray, steps: int = STEPS) -> LogBil
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    table, n_all, v_all, n_other, v_other = shared.value
-    for row, lengths, held, count, cls in _opened(batches):
+    table, n_all, v_all, n_other, v_other, top = shared.value
+    for row, lengths, held, count, cls in _opened(batches, top):
         two, one = _contexts(cls, lengths)
         base = np.log10((count + SMOOTH) / (n_all + SMOOTH * (v_all + 1)))
         score = table[two, one, cls].astype(np.float64)
@@ -197,22 +212,23 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "slice long, ids array<long>, held array<boolean>, lengths array<long>, kinds array<long>, trained array<long>, words binary"
-    coded = materialize(source.mapInArrow(_encode, schema), "coded")
+    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    coded = bucketed(source.mapInArrow(_encode, schema), "slice", buckets, "coded")
     used = coded.select("slice", F.posexplode(F.arrays_zip("kinds", "trained")).alias("place", "s")).select("slice", "place", F.col("s.kinds").alias("kind"), F.col("s.trained").alias("n"))
     totals = materialize(used.where("n > 0").groupBy("kind").agg(F.sum("n").alias("count")), "counts")
     sums = totals.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = totals.where(F.col("kind") != END_HASH).orderBy(F.col("count").desc(), "kind").limit(WORDS).collect()
-    classes = spark.createDataFrame([(r.kind, i) for i, r in enumerate(top)] + [(END_HASH, END)], "kind long, cls int")
-    named = totals.join(F.broadcast(classes), "kind", "left").select("kind", "count", F.coalesce("cls", F.lit(OTHER)).alias("cls"))
-    known = used.select("slice", "place", "kind").join(named, "kind", "left").groupBy("slice").agg(
-        F.collect_list(F.struct("place", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("cls", F.when(F.col("kind") == END_HASH, END).otherwise(OTHER)).alias("cls"))).alias("known")
-    )
-    ready = materialize(coded.select("slice", "ids", "held", "lengths", "words").join(known, "slice"), "coded-known")
-    triples = ready.mapInArrow(_triples, "triple int, n long").groupBy("triple").agg(F.sum("n").alias("n")).orderBy("triple").toPandas()
+    best = totals.where(F.col("kind") != END_HASH).orderBy(F.col("count").desc(), "kind").limit(WORDS).collect()
+    top = np.array([r.kind for r in best], dtype=np.int64)
+    place_count = F.shiftleft(F.col("count"), PLACE_BITS).bitwiseOR(F.col("place").cast("long"))
+    known = materialize(used.select("slice", "place", "kind").join(totals, "kind").groupBy("slice").agg(F.collect_list(place_count).alias("known")), "known")
+    known = known.withColumnRenamed("slice", "s").hint("shuffle_hash")
+    ready = coded.join(known, coded.slice == known.s, "left").select("slice", "ids", "held", "lengths", "kinds", "words", "known")
+    triples = ready.mapInArrow(partial(_triples, top=top), "triple int, n long").groupBy("triple").agg(F.sum("n").alias("n")).orderBy("triple").toPandas()
     model = train(triples["triple"].to_numpy(np.int64), triples["n"].to_numpy(np.int64))
-    n_top = sum(r["count"] for r in top)
+    n_top = sum(r["count"] for r in best)
     end = totals.where(F.col("kind") == END_HASH).select("count").first()
     n_end = end["count"] if end else 0
-    other = sums.n - n_top - n_end, sums.v - len(top) - (1 if end else 0)
-    shared = spark.sparkContext.broadcast((model.table().astype(np.float32), sums.n, sums.v, *other))
+    other = sums.n - n_top - n_end, sums.v - len(best) - (1 if end else 0)
+    shared = spark.sparkContext.broadcast((model.table().astype(np.float32), sums.n, sums.v, *other, top))
     return ready.mapInArrow(partial(_score, shared=shared), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
