@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces and token pairs a worker remembers before it starts over.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 _NONE = 1 << 60
 
 
