@@ -1,8 +1,10 @@
 """Substring dedup by content-defined chunking.
 
-A gear hash of the last 16 bytes is rolled over each text; a byte where its
-low bits are zero ends a chunk. Boundaries depend on content alone, so text
-inserted before or inside a passage moves only the chunks it touches. Chunks
+A gear hash of the last 16 bytes is rolled over each text; a byte whose hash
+is the smallest within ``RADIUS`` bytes on either side ends a chunk, which
+bounds how far chunks of varied text can stretch. Boundaries depend on nearby
+content alone, so text inserted before or inside a passage moves only the
+chunks it touches. Chunks
 are compared by a 128-bit digest: the first occurrence (by doc_id, then place)
 stays. Later ones go where adjacent repeated chunks make a run of at least
 ``min_run`` bytes, so single chance chunks leave clean texts alone.
@@ -21,15 +23,15 @@ from pyspark.sql import functions as F
 from simloom.llm.bytetext import Texts, mix64, sliced
 from simloom.scratch import materialize
 
-#: Low bits of the gear hash that must be zero: chunks of 32 bytes on average.
-BITS = 5
+#: A boundary's hash is the smallest this far around: chunks of about 33 bytes.
+RADIUS = 16
 #: Shorter runs of repeated chunks stay.
 MIN_RUN = 64
 
 _GEAR = (mix64(np.arange(1001, 1257, dtype=np.uint64)) >> np.uint64(40)).astype(np.uint32)
 
 
-def boundaries(t: Texts, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def boundaries(t: Texts, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each chunk; empty texts have none."""
     n = len(t.buf)
     h = _GEAR[t.buf]
@@ -37,7 +39,7 @@ def boundaries(t: Texts, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.n
         older = np.zeros_like(h)
         older[step:] = h[:-step] if n > step else older[step:]
         h = h + (older << np.uint32(step))
-    # A chunk's first bytes must not see the document before: restart at each text.
+    # A text's first bytes must not see the document before.
     for k in range(15):
         at = t.off[:-1] + k
         at = at[at < t.off[1:]]
@@ -45,7 +47,19 @@ def boundaries(t: Texts, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.n
         for j in range(k + 1):
             acc += _GEAR[t.buf[at - j]] << np.uint32(j)
         h[at] = acc
-    cut = (mix64((h & np.uint32(0xFFFF)).astype(np.uint64)) & np.uint64((1 << bits) - 1)) == 0
+    order = (mix64(h.astype(np.uint64)) >> np.uint64(33)).astype(np.uint32)
+    # Texts stand apart by more than a radius of largest values.
+    place = np.arange(n) + (radius + 1) * (t.row_of(np.arange(n)) + 1)
+    wide = np.full(n + (radius + 1) * (t.rows + 1), 0xFFFFFFFF, dtype=np.uint32)
+    wide[place] = order
+    low, have = wide, 1
+    while have * 2 <= radius:
+        low = np.minimum(low[: len(low) - have], low[have:])
+        have *= 2
+    if have < radius:
+        low = np.minimum(low[: len(low) - (radius - have)], low[radius - have :])
+    # low[i] is the smallest of wide[i : i + radius]; of equal hashes the first one is the boundary.
+    cut = (order < low[place - radius]) & (order <= low[np.minimum(place + 1, len(low) - 1)]) if n else np.zeros(0, bool)
     ends = np.flatnonzero(cut) + 1
     ends = np.unique(np.concatenate([ends, t.off[1:][t.off[1:] > t.off[:-1]]]))
     starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
