@@ -142,21 +142,23 @@ def union_parts(c: Column) -> Column:
 
     start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("now"), F.lit(0).alias("angle"), F.lit(0).alias("paren"))
     parts = F.aggregate(F.split(bare, ""), start, step, lambda s: F.concat(s["parts"], F.array(s["now"])))
-    return F.filter(F.transform(parts, lambda p: trimmed(p)), lambda p: p != "")
+    return F.filter(F.transform(parts, trimmed), lambda p: p != "")
 
 
-def unwrapped(c: Column, levels: int = 6) -> Column:
-    for _ in range(levels):
-        inner = trimmed(c)
-        c = F.when(inner.startswith("(") & inner.endswith(")") & (F.length(inner) > 1), trimmed(inner.substr(F.lit(2), F.length(inner) - 2))).otherwise(inner)
-    return c
+def unwrapped(c: Column) -> Column:
+    """A type name without the parentheses around it, however many."""
+
+    def step(x: Column, _: Column) -> Column:
+        return F.when(x.startswith("(") & x.endswith(")"), trimmed(x.substr(F.lit(2), F.length(x) - 2))).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(0), F.length(c)), trimmed(c), step)
 
 
 def is_ignored_type(c: Column) -> Column:
     """Empty, unknown, synthetic or built-in types; a union counts if all its parts do."""
     one = lambda p: p.startswith("%") | (p == "unknown") | F.lower(p).isin(IGNORED_TYPES)
     parts = union_parts(c)
-    return F.coalesce(c == "", F.lit(True)) | F.forall(F.transform(parts, lambda p: unwrapped(p)), one)
+    return F.coalesce(c == "", F.lit(True)) | F.forall(F.transform(parts, unwrapped), one)
 
 
 def offset_line(text: Column, offset: Column) -> tuple[Column, Column]:

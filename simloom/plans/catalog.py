@@ -20,7 +20,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 # Defaults of the rules.
-WINDOW, SIMILARITY, LIMIT, SOFT, HARD = 100, 0.8, 50, 80, 120
+WINDOW, SIMILARITY, STMT_SIMILARITY, LIMIT, SOFT, HARD = 100, 0.8, 0.5, 50, 80, 120
 MIN_TYPES, MIN_PARTS, MIN_CASES = 3, 20, 6
 
 
@@ -60,7 +60,7 @@ runs AS (SELECT f1, min(s1) AS s1, min(s1) + count(*) + {WINDOW - 2} AS e1, f2,
 _NEAR = f"""{_METHODS}, flat AS (SELECT seq, unnest(stmts) AS s FROM m), cnt AS (SELECT seq, s, count(*) AS c FROM flat GROUP BY seq, s), tot AS (SELECT seq, sum(c) AS n FROM cnt GROUP BY seq),
 sh AS (SELECT a.seq AS a, b.seq AS b, sum(least(a.c, b.c)) AS m FROM cnt a JOIN cnt b ON a.s = b.s AND a.seq < b.seq GROUP BY a.seq, b.seq),
 near AS (SELECT sh.a, sh.b, m / (x.n + y.n - m) AS similarity FROM sh JOIN tot x ON x.seq = sh.a JOIN tot y ON y.seq = sh.b
-  JOIN m p ON p.seq = sh.a JOIN m q ON q.seq = sh.b WHERE array_to_string(p.stmts, '|') <> array_to_string(q.stmts, '|') AND x.n <= {clones.RATIO} * y.n AND y.n <= {clones.RATIO} * x.n AND m / (x.n + y.n - m) >= {SIMILARITY})"""
+  JOIN m p ON p.seq = sh.a JOIN m q ON q.seq = sh.b WHERE array_to_string(p.stmts, '|') <> array_to_string(q.stmts, '|') AND x.n <= {clones.RATIO} * y.n AND y.n <= {clones.RATIO} * x.n AND m / (x.n + y.n - m) >= {STMT_SIMILARITY})"""
 _EXACT = f"{_METHODS}, ex AS (SELECT a.seq AS a, b.seq AS b FROM m a JOIN m b ON a.content = b.content AND a.seq < b.seq)"
 
 
@@ -181,7 +181,7 @@ def q12_exact_pairs(spark, sf):
 
 @query(f"WITH {_NEAR} SELECT a, b, round(similarity, 6) AS similarity FROM near")
 def q13_near_miss_pairs(spark, sf):
-    return clones.near_miss_pairs(document_methods(spark, sf), SIMILARITY).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return clones.near_miss_pairs(document_methods(spark, sf), STMT_SIMILARITY).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"WITH {_PAIRS} SELECT f1, f2, count(*)::BIGINT AS pairs, min(s1)::BIGINT AS first_start FROM pr GROUP BY f1, f2")
@@ -227,7 +227,8 @@ def q20_multisets(spark, sf):
     return multiset(document_tokens(spark, sf).select("file", F.explode("tokens").alias("token")), ["file"], "token").where("n > 1")
 
 
-@query(f"SELECT file, gram, count(*)::BIGINT AS n FROM (SELECT file, array_to_string(w[i:i+2], ' ') AS gram FROM (SELECT doc_id AS file, {_WORDS} AS w, unnest(range(1, len({_WORDS}) - 1)) AS i FROM documents)) GROUP BY file, gram HAVING count(*) > 1")
+@query(f"""SELECT file, gram, count(*)::BIGINT AS n FROM (SELECT file, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS gram
+FROM (SELECT doc_id AS file, unnest({_WORDS}) AS w, generate_subscripts({_WORDS}, 1) AS i FROM documents) WINDOW o AS (PARTITION BY file ORDER BY i)) WHERE gram IS NOT NULL GROUP BY file, gram HAVING count(*) > 1""")
 def q21_grams(spark, sf):
     g = document_tokens(spark, sf).select("file", F.explode(grams(F.col("tokens"), 3, " ")).alias("gram"))
     return g.groupBy("file", "gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -346,7 +347,7 @@ def q37_pair_keys(spark, sf):
 @query(f"WITH RECURSIVE {_NEAR}, e AS (SELECT a, b FROM near UNION SELECT b, a FROM near UNION SELECT a.seq, b.seq FROM m a JOIN m b ON a.content = b.content AND a.seq <> b.seq), c AS (SELECT a AS v, a AS r FROM e UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.v WHERE c.r < e.b) SELECT v AS vertex, min(r) AS component FROM c GROUP BY v")
 def q38_components(spark, sf):
     m = document_methods(spark, sf)
-    return connected_components(clones.exact_pairs(m).union(clones.near_miss_pairs(m, SIMILARITY).select("a", "b")))
+    return connected_components(clones.exact_pairs(m).union(clones.near_miss_pairs(m, STMT_SIMILARITY).select("a", "b")))
 
 
 @query(f"SELECT min(k) AS class_key, count(*)::BIGINT AS size, array_to_string(list(k ORDER BY k), ',') AS members FROM (SELECT {_basic('text')} AS content, conv_id * 1000 + turn AS k FROM conversations) GROUP BY content HAVING count(*) > 1")
