@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -137,9 +138,8 @@ def _matches(index: Index, h: np.ndarray, hits: list[tuple[int, int, int]], num:
 
 def _scan(batches: Iterator[pa.RecordBatch], packed, num: int, den: int) -> Iterator[pa.RecordBatch]:
     ids, item_texts = packed.value
-    key = id(packed)
-    if getattr(_scan, "_have", (None,))[0] != key:
-        _scan._have = key, Index(ids, item_texts)
+    if getattr(_scan, "_have", (None,))[0] != packed.key:
+        _scan._have = packed.key, Index(ids, item_texts)
     index = _scan._have[1]
     for part, t in sliced(batches, "text"):
         low = t.lowered()
@@ -165,10 +165,15 @@ def _scan(batches: Iterator[pa.RecordBatch], packed, num: int, den: int) -> Iter
 
 
 class _Packed:
-    """A broadcast of the items, with the columns of the documents that stay."""
+    """A broadcast of the items, with the columns of the documents that stay.
+
+    Workers keep the last index by ``key``, a digest of the items: they outlive
+    tasks, and an address or a broadcast's number can come again with other items.
+    """
 
     def __init__(self, broadcast, keep: tuple[str, ...]) -> None:
         self.broadcast, self.keep = broadcast, keep
+        self.key = sha256(repr(broadcast.value).encode()).hexdigest()
 
     @property
     def value(self):
@@ -181,9 +186,8 @@ def _passes(docs: DataFrame, benchmark: DataFrame, num: int, den: int, keep: tup
     out, sc = docs, docs.sparkSession.sparkContext
     for p in range(passes):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).collect()
-        packed = _Packed(sc.broadcast(([r.item_id for r in rows], [r.text for r in rows])), keep)
         last = p == passes - 1
-        now = _Packed(packed.broadcast, keep if last else (*keep, "text"))
+        now = _Packed(sc.broadcast(([r.item_id for r in rows], [r.text for r in rows])), keep if last else (*keep, "text"))
         cols = schema if last or "text" in keep else f"{schema}, text string"
         if p:
             out = out.withColumnRenamed("__items", "__before")

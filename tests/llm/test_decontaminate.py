@@ -1,7 +1,10 @@
+import pickle
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import brute
+import pyarrow as pa
 from simloom.llm import decontaminate as dc
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
@@ -70,3 +73,15 @@ def test_empty_tables(spark):
     assert dc.contamination(docs.limit(0), items).count() == 0
     assert [tuple(r) for r in dc.contamination(docs, items.limit(0)).collect()] == [(1, False, 0, "")]
     assert [tuple(r) for r in dc.contamination(docs, items).collect()] == [(1, True, 1, "1")]
+
+
+def test_a_worker_never_takes_another_item_set():
+    """Tasks unpickle their items to addresses that were in use before, as in a worker that lives on."""
+    words = ["one two three four five six", "seven eight nine ten eleven twelve"]
+    blobs = [pickle.dumps(dc._Packed(SimpleNamespace(value=([i], [w])), ())) for i, w in enumerate(words)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [0, 1], "text": words})
+    for step in range(40):
+        packed = pickle.loads(blobs[step % 2])
+        got = [x for b in dc._scan(iter([batch]), packed, 80, 100) for x in b.column("__items").to_pylist()]
+        assert got == ([[0], []] if step % 2 == 0 else [[], [1]]), step
+        del packed
