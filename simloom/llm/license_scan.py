@@ -2,7 +2,8 @@
 
 A text becomes lower-case words. Words such as ``license`` or ``spdx`` are
 anchors; the words around an anchor form its context, and a marker stands
-before the anchor itself. Every rule has a keyword, a regular expression over
+before the anchor itself. Every rule has a keyword (a form is a rule for each of
+its keywords, which cover all its alternatives), a regular expression over
 the context that contains the marker, a label, a priority and its place in the
 order. The keyword prefilter is an equi-join between the context's words and
 the rule table, so a regular expression runs only where its keyword stands.
@@ -29,33 +30,33 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Base phrases: the words before ``license`` and the label.
 BASE = ((("mit",), "mit"), (("apache",), "apache"), (("general", "public"), "gpl"))
 
-# Label, keyword, name of the license as words, SPDX short names as words.
+# Label, keywords of which every name holds one, name of the license as words, SPDX short names as words.
 FAMILIES = (
-    ("0bsd", "0bsd", r"0bsd|zero clause bsd", r"0bsd"),
+    ("0bsd", "0bsd zero", r"0bsd|zero clause bsd", r"0bsd"),
     ("afl", "academic", r"academic free", r"afl (?:1|2|3) \d"),
     ("agpl", "affero", r"(?:gnu )?affero general public", r"agpl (?:1|3) 0(?: only| or later)?"),
     ("apache", "apache", r"apache(?: software)?(?: foundation)?", r"apache (?:1|2) \d"),
     ("apsl", "apple", r"apple public source", r"apsl (?:1|2) \d"),
     ("artistic", "artistic", r"(?:perl )?artistic", r"artistic (?:1|2) 0(?: perl| cl8)?"),
-    ("beerware", "beer", r"beer ware|beerware", r"beerware"),
+    ("beerware", "beer beerware", r"beer ware|beerware", r"beerware"),
     ("blueoak", "blue", r"blue oak model", r"blueoak 1 0 0"),
-    ("bsd-2", "clause", r"(?:2|two) clause bsd|simplified bsd|bsd 2 clause|freebsd", r"bsd 2 clause(?: patent| views)?"),
-    ("bsd-3", "clause", r"(?:3|three) clause bsd|new bsd|modified bsd|revised bsd|bsd 3 clause", r"bsd 3 clause(?: clear| lbnl)?"),
-    ("bsd-4", "clause", r"(?:4|four) clause bsd|original bsd|bsd 4 clause", r"bsd 4 clause(?: uc)?"),
-    ("bsd", "bsd", r"bsd(?: style)?|berkeley software distribution", r"bsd"),
+    ("bsd-2", "clause simplified freebsd", r"(?:2|two) clause bsd|simplified bsd|bsd 2 clause|freebsd", r"bsd 2 clause(?: patent| views)?"),
+    ("bsd-3", "clause new modified revised", r"(?:3|three) clause bsd|new bsd|modified bsd|revised bsd|bsd 3 clause", r"bsd 3 clause(?: clear| lbnl)?"),
+    ("bsd-4", "clause original", r"(?:4|four) clause bsd|original bsd|bsd 4 clause", r"bsd 4 clause(?: uc)?"),
+    ("bsd", "bsd berkeley", r"bsd(?: style)?|berkeley software distribution", r"bsd"),
     ("bsl", "boost", r"boost software", r"bsl 1 0"),
     ("busl", "business", r"business source", r"busl 1 1"),
-    ("cc-by", "cc", r"cc by|creative commons attribution", r"cc by (?:1|2|3|4) \d"),
-    ("cc-by-nc", "nc", r"cc by nc|creative commons attribution non ?commercial", r"cc by nc (?:1|2|3|4) \d"),
+    ("cc-by", "cc commons", r"cc by|creative commons attribution", r"cc by (?:1|2|3|4) \d"),
+    ("cc-by-nc", "nc commons", r"cc by nc|creative commons attribution non ?commercial", r"cc by nc (?:1|2|3|4) \d"),
     ("cc-by-nc-nd", "nd", r"cc by nc nd", r"cc by nc nd (?:1|2|3|4) \d"),
     ("cc-by-nc-sa", "sa", r"cc by nc sa", r"cc by nc sa (?:1|2|3|4) \d"),
-    ("cc-by-nd", "nd", r"cc by nd|creative commons attribution no ?deriv\w*", r"cc by nd (?:1|2|3|4) \d"),
-    ("cc-by-sa", "sa", r"cc by sa|creative commons attribution share ?alike", r"cc by sa (?:1|2|3|4) \d"),
-    ("cc0", "cc0", r"cc0|creative commons zero", r"cc0 1 0"),
+    ("cc-by-nd", "nd commons", r"cc by nd|creative commons attribution no ?deriv\w*", r"cc by nd (?:1|2|3|4) \d"),
+    ("cc-by-sa", "sa commons", r"cc by sa|creative commons attribution share ?alike", r"cc by sa (?:1|2|3|4) \d"),
+    ("cc0", "cc0 zero", r"cc0|creative commons zero", r"cc0 1 0"),
     ("creative-commons", "commons", r"creative commons(?: attribution)?", r"creativecommons"),
-    ("cddl", "cddl", r"cddl|common development and distribution", r"cddl 1 \d"),
+    ("cddl", "cddl development", r"cddl|common development and distribution", r"cddl 1 \d"),
     ("cecill", "cecill", r"cecill(?: [bc])?", r"cecill (?:1|2) \d|cecill [bc]"),
-    ("cpal", "cpal", r"cpal|common public attribution", r"cpal 1 0"),
+    ("cpal", "cpal attribution", r"cpal|common public attribution", r"cpal 1 0"),
     ("cpl", "common", r"common public", r"cpl 1 0"),
     ("ecl", "educational", r"educational community", r"ecl (?:1|2) 0"),
     ("edl", "eclipse", r"eclipse distribution", r"edl 1 0"),
@@ -64,15 +65,15 @@ FAMILIES = (
     ("eupl", "european", r"european union public", r"eupl 1 [012]"),
     ("fdl", "documentation", r"(?:gnu )?free documentation", r"gfdl 1 [123](?: only| or later)?"),
     ("gpl", "general", r"(?:gnu )?general public", r"gpl (?:1|2|3) 0(?: only| or later)?"),
-    ("gpl-short", "gpl", r"(?:gnu )?gpl(?: ?v?[123](?: 0)?)?", r"gpl ?v?[123]"),
-    ("isc", "isc", r"isc|internet systems consortium", r"isc"),
+    ("gpl-short", "gpl gplv1 gplv2 gplv3 gpl1 gpl2 gpl3", r"(?:gnu )?gpl(?: ?v?[123](?: 0)?)?", r"gpl ?v?[123]"),
+    ("isc", "isc internet", r"isc|internet systems consortium", r"isc"),
     ("json", "json", r"json", r"json"),
-    ("lgpl", "lesser", r"(?:gnu )?(?:lesser|library) general public", r"lgpl (?:2|3) [01](?: only| or later)?"),
-    ("lgpl-short", "lgpl", r"(?:gnu )?lgpl(?: ?v?[23](?: [01])?)?", r"lgpl ?v?[23]"),
+    ("lgpl", "lesser library", r"(?:gnu )?(?:lesser|library) general public", r"lgpl (?:2|3) [01](?: only| or later)?"),
+    ("lgpl-short", "lgpl lgplv2 lgplv3 lgpl2 lgpl3", r"(?:gnu )?lgpl(?: ?v?[23](?: [01])?)?", r"lgpl ?v?[23]"),
     ("lppl", "latex", r"latex project public", r"lppl 1 \d[abc]?"),
-    ("mit", "mit", r"mit|expat", r"mit(?: 0| cmu| modern variant)?"),
+    ("mit", "mit expat", r"mit|expat", r"mit(?: 0| cmu| modern variant)?"),
     ("mpl", "mozilla", r"mozilla public", r"mpl (?:1|2) \d"),
-    ("mpl-short", "mpl", r"mpl(?: ?v?[12](?: \d)?)?", r"mpl"),
+    ("mpl-short", "mpl mplv1 mplv2 mpl1 mpl2", r"mpl(?: ?v?[12](?: \d)?)?", r"mpl"),
     ("ms-pl", "microsoft", r"microsoft public", r"ms pl"),
     ("ms-rl", "reciprocal", r"microsoft reciprocal", r"ms rl"),
     ("mulan", "mulan", r"mulan(?: permissive software)?", r"mulanpsl (?:1|2) 0"),
@@ -86,7 +87,7 @@ FAMILIES = (
     ("php", "php", r"php", r"php 3 0\d?"),
     ("postgresql", "postgresql", r"postgresql", r"postgresql"),
     ("psf", "python", r"python(?: software foundation)?", r"psf 2 0|python 2 0"),
-    ("qpl", "qt", r"qt? public|q public", r"qpl 1 0"),
+    ("qpl", "qt q", r"qt? public|q public", r"qpl 1 0"),
     ("rpl", "reciprocal", r"reciprocal public", r"rpl 1 [15]"),
     ("ruby", "ruby", r"ruby", r"ruby"),
     ("sleepycat", "sleepycat", r"sleepycat", r"sleepycat"),
@@ -96,7 +97,7 @@ FAMILIES = (
     ("upl", "universal", r"universal permissive", r"upl 1 0"),
     ("vim", "vim", r"vim", r"vim"),
     ("w3c", "w3c", r"w3c(?: software)?", r"w3c(?: 20150513)?"),
-    ("wtfpl", "wtfpl", r"wtfpl|do what the f\w* you want to public", r"wtfpl"),
+    ("wtfpl", "wtfpl want", r"wtfpl|do what the f\w* you want to public", r"wtfpl"),
     ("zlib", "zlib", r"zlib(?: libpng)?", r"zlib"),
     ("zpl", "zope", r"zope public", r"zpl (?:1|2) \d"),
 )
@@ -111,15 +112,18 @@ FORMS = (
 
 @cache
 def rules() -> tuple[tuple[int, int, str, str, str], ...]:
-    """(order, priority, label, keyword, pattern): every form of every family, families in the given order."""
+    """(order, priority, label, keyword, pattern): every form of every family, families in the given order.
+
+    A form is one rule for each keyword; where several stand, the second detection lies inside the first.
+    """
     out = []
-    for label, keyword, name, short in FAMILIES:
+    for label, keywords, name, short in FAMILIES:
         for priority, form in FORMS:
             spdx = "(?:S)" in form
             body = form.replace("(?:N)", f"(?:{name})").replace("(?:S)", f"(?:{short})")
-            word = "identifier" if spdx else keyword
             # A context word may carry the marker (the anchor); names hold no anchor words.
-            out.append((len(out), priority, label.removesuffix("-short"), word, f"(?:^| ){body}(?= |$)"))
+            for word in ["identifier"] if spdx else keywords.split(" "):
+                out.append((len(out), priority, label.removesuffix("-short"), word, f"(?:^| ){body}(?= |$)"))
     return tuple(out)
 
 

@@ -1,3 +1,5 @@
+import re
+
 import oracle
 from simloom.llm import license_scan, queries
 
@@ -40,3 +42,43 @@ def test_containment_suppresses(spark):
 
 def test_against_sql(spark):
     oracle.compare(spark, oracle.connect(SF), queries.op3_license_scan, license_scan.oracle_sql(), SF)
+
+
+def spelled(pattern):
+    """Every text a rule's pattern stands for; of digits 1 and 4, of \\w* none and two letters."""
+    from re import _constants as c
+    from re import _parser
+
+    def of(items):
+        out = [""]
+        for op, arg in items:
+            if op is c.LITERAL:
+                more = [chr(arg)]
+            elif op is c.IN:
+                more = [x for o, a in arg for x in ([chr(a)] if o is c.LITERAL else map(chr, range(a[0], a[1] + 1)) if o is c.RANGE else ["1", "4"] if a is c.CATEGORY_DIGIT else ["a"])]
+            elif op is c.BRANCH:
+                more = [x for a in arg[1] for x in of(a)]
+            elif op is c.SUBPATTERN:
+                more = of(arg[3])
+            elif op is c.MAX_REPEAT:
+                more = ["", *(x * (1 if arg[1] == 1 else 2) for x in of(arg[2]))]
+            else:
+                raise AssertionError(op)
+            out = [x + y for x in out for y in more]
+        return out
+
+    return sorted(set(of(_parser.parse(pattern))))
+
+
+def test_every_alternative_is_found(spark):
+    """No keyword gate may keep a text from a rule whose pattern it matches; of families with the same name the first counts."""
+    first = {}
+    for label, _, name, short in license_scan.FAMILIES:
+        texts = [f for x in spelled(name) for f in (f"{x} license", f"licensed under {x}", f"license {x}")] + [f"SPDX-License-Identifier: {x}" for x in spelled(short)]
+        for t in texts:
+            first.setdefault(t, label.removesuffix("-short"))
+    cases = [(i, label, t) for i, (t, label) in enumerate(first.items())]
+    assert len(cases) > 500 and all(re.search(r"\w", t) for *_, t in cases)
+    df = spark.createDataFrame([(i, t) for i, _, t in cases], "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.scan(df).collect()}
+    assert [(t, label, got[i]) for i, label, t in cases if label not in got[i]] == []
