@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Runs of lines that stand at an earlier place are cut; documents left without a word go."""
-    out = line_dedup.cleaned(docs)
+    """Runs of lines, and single long lines, that stand at an earlier place are cut; documents left without a word go."""
+    out = line_dedup.cleaned(docs, long_lines=True)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -10,7 +10,8 @@ first place. Doubling stops at the depth that ``min_lines`` asks for, because
 deletion reads only the intervals that deep; any depth can be had.
 
 A run of ``min_lines`` lines or more that also starts at an earlier place (by
-doc_id, then line) is deleted; overlapping runs unite into maximal ones.
+doc_id, then line) is deleted; overlapping runs unite into maximal ones. With
+``long_lines`` a single long line that also stands at an earlier place goes too.
 Suffixes whose line or rank is unique leave at once, so the tables hold
 repeated text only. Groups are counted before they are shuffled, joins go by
 document or by rank, and a line that a third of the documents share is one
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from simloom.scratch import materialize
 
 MIN_LINES = 2
+#: A line of more words or more bytes is long: with ``long_lines`` it is deleted where it recurs by itself.
+LONG_WORDS, LONG_BYTES = 50, 400
 _WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -32,12 +35,17 @@ def _key(text: Column) -> Column:
     return F.xxhash64(F.lit(11), text)
 
 
-def line_places(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, k, at, h1, h2`` of each line with a word: its ordinal among those, its line number, its hash."""
+def _is_long(line: Column) -> Column:
+    return (F.octet_length(line) > LONG_BYTES) | ((F.octet_length(line) > 2 * LONG_WORDS) & (F.regexp_count(line, F.lit(f"{_WORD}+")) > LONG_WORDS))
+
+
+def line_places(docs: DataFrame, long_lines: bool = False) -> DataFrame:
+    """``doc_id, key, k, at, h1, h2`` of each line with a word: its ordinal among those, its line number, its hash; with ``long_lines`` also ``long``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"), x.rlike(_WORD).alias("ok"))), lambda s: s["ok"])
+    also = (lambda x: [_is_long(x).alias("long")]) if long_lines else lambda x: []
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(7), x).alias("h2"), x.rlike(_WORD).alias("ok"), *also(x))), lambda s: s["ok"])
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _key(text).alias("key"), F.posexplode(lines).alias("k", "s"))
-    return rows.select("doc_id", "key", "k", "s.at", "s.h1", "s.h2").distinct()
+    return rows.select("doc_id", "key", "k", "s.at", "s.h1", "s.h2", *(["s.long"] if long_lines else [])).distinct()
 
 
 def _numbered(named: DataFrame, by: list[str], step: str) -> tuple[DataFrame, DataFrame]:
@@ -60,20 +68,25 @@ def ranks(places: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     return now, intervals
 
 
-def deleted_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def _later(suffixes: DataFrame, intervals: DataFrame) -> DataFrame:
+    return suffixes.join(intervals, "rank").where(F.struct("doc_id", "key", "k") > F.col("first"))
+
+
+def deleted_lines(docs: DataFrame, min_lines: int = MIN_LINES, long_lines: bool = False) -> DataFrame:
     """``doc_id, key, lines``: the line numbers to delete, in order, and ``runs``, how many maximal runs they form."""
-    places = materialize(line_places(docs), "lines")
-    suffixes, intervals = ranks(places, min_lines)
-    later = suffixes.join(intervals, "rank").where(F.struct("doc_id", "key", "k") > F.col("first"))
-    covered = later.select("doc_id", "key", F.explode(F.sequence(F.col("k"), F.col("k") + (min_lines - 1))).alias("k")).distinct()
+    places = materialize(line_places(docs, long_lines), "lines")
+    covered = _later(*ranks(places, min_lines)).select("doc_id", "key", F.explode(F.sequence(F.col("k"), F.col("k") + (min_lines - 1))).alias("k"))
+    if long_lines:
+        covered = covered.unionByName(_later(*_numbered(places.where("long"), ["h1", "h2"], "long")).select("doc_id", "key", "k"))
+    covered = covered.distinct()
     order = Window.partitionBy("doc_id", "key").orderBy("k")
     begins = (F.coalesce(F.lag("k").over(order), F.lit(-2)) + 1 != F.col("k")).cast("int")
     gone = covered.withColumn("b", begins).join(places.select("doc_id", "key", "k", "at"), ["doc_id", "key", "k"])
     return gone.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("at")).alias("lines"), F.sum("b").alias("runs"))
 
 
-def _with_deletions(docs: DataFrame, min_lines: int) -> DataFrame:
-    gone = deleted_lines(docs, min_lines).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("lines").alias("__lines"), F.col("runs").alias("__runs"))
+def _with_deletions(docs: DataFrame, min_lines: int, long_lines: bool) -> DataFrame:
+    gone = deleted_lines(docs, min_lines, long_lines).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("lines").alias("__lines"), F.col("runs").alias("__runs"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = docs.join(gone, (docs["doc_id"].cast("long") == gone["__id"]) & (_key(text) == gone["__key"]), "left")
     none = F.array().cast("array<int>")
@@ -81,7 +94,7 @@ def _with_deletions(docs: DataFrame, min_lines: int) -> DataFrame:
     return joined.withColumn("__kept", F.when(F.col("__lines").isNull(), text).otherwise(kept))
 
 
-def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, long_lines: bool = False) -> DataFrame:
     """Per row: ``doc_id, n_lines, n_removed, n_runs, kept_sha256``.
 
     ``n_lines`` counts lines with a word; blank lines are never deleted and do
@@ -90,7 +103,7 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     deletes nor loses lines. Other columns are ignored.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = _with_deletions(source, min_lines)
+    out = _with_deletions(source, min_lines, long_lines)
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(_WORD))
     return out.select(
         "doc_id", F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_removed"),
@@ -98,9 +111,9 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     )
 
 
-def cleaned(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` with repeated runs cut from their texts; documents left without a word by it are dropped."""
-    out = _with_deletions(docs, min_lines)
+def cleaned(docs: DataFrame, min_lines: int = MIN_LINES, long_lines: bool = False) -> DataFrame:
+    """``docs`` with repeated runs (and long lines, if asked) cut from their texts; documents left without a word by it are dropped."""
+    out = _with_deletions(docs, min_lines, long_lines)
     emptied = F.col("__lines").isNotNull() & ~F.col("__kept").rlike(_WORD)
     columns = [F.col("__kept").alias("text") if c == "text" else F.col(c) for c in docs.columns]
     return out.where(~emptied).select(*columns)

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import corpus_pipeline
 import oracle
 from simloom.llm import line_dedup, queries
 
@@ -51,3 +52,12 @@ def test_native_plan(spark):
 
 def test_against_sql(spark):
     oracle.compare(spark, oracle.connect(SF), queries.op6_line_dedup, line_dedup.ORACLE, SF)
+
+
+def test_a_long_single_line_goes_in_the_pipeline(spark):
+    words, glued = " ".join(f"w{i}" for i in range(51)), "x" * 401
+    rows = [(1, f"a\n{words}\nb"), (2, f"c\n{words}\nd"), (3, words), (4, f"{glued}\ne"), (5, f"f\n{glued}"), (6, "short"), (7, "short"), (8, f"{words} more"), (9, f"g\n\n{words}\n{words}\na")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = [rows[0], (2, "c\nd"), rows[3], (5, "f"), rows[5], rows[6], rows[7], (9, "g\n\na")]
+    assert sorted(map(tuple, corpus_pipeline.dedup_lines(spark, df, SF).collect())) == want
+    assert [(r.doc_id, r.n_removed, r.n_runs) for r in line_dedup.line_dedup(df, long_lines=True).collect() if r.n_removed] == [(2, 1, 1), (3, 1, 1), (5, 1, 1), (9, 2, 1)]
