@@ -1,25 +1,30 @@
 """Vectorised byte-level text primitives shared by the operators.
 
 An Arrow string column is viewed as one UTF-8 byte buffer with offsets; words,
-lines and their 64-bit hashes come from whole-buffer numpy operations, so no
-Python code runs per word. A null text counts as the empty text. Batches are
-cut into slices of a few megabytes (never inside a document), so memory is
-bounded by the slice size or by the longest single document.
+lines and their hashes come from whole-buffer numpy operations, so no Python
+code runs per word. A null text counts as the empty text. Batches are cut into
+slices of a few megabytes (never inside a document), so memory is bounded by
+the slice size or by the longest single document.
+
+Hashes mix eight bytes a round by a bijection, so no two ranges that differ in
+one round are equal, and no algebraic structure of a text (such as a Thue-Morse
+sequence, which polynomials modulo 2 ** 64 cannot tell apart) makes them so.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 
 SLICE_BYTES = 2 << 20
-_M = np.uint64(0xFFFFFFFFFFFFFFFF)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Longer ranges are hashed one by one, shorter ones eight bytes of all of them at a time.
+SHORT = 64
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -31,27 +36,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64, grown on demand."""
+#: Masks that keep the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
-    def __init__(self, base: int) -> None:
-        self.base, self.have = base, np.ones(1, dtype=np.uint64)
 
-    def upto(self, n: int) -> np.ndarray:
-        while len(self.have) < n:
-            step = np.uint64(pow(self.base, len(self.have), 1 << 64))
-            self.have = np.concatenate([self.have, self.have * step])
-        return self.have[:n]
-
-
-_POW, _INV = _Powers(_BASE), _Powers(_INVERSE)
+def eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end. A view of its own copy of the bytes."""
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", buffer=padded, strides=(1,))
 
 
 class Texts:
@@ -59,7 +58,7 @@ class Texts:
 
     def __init__(self, buf: np.ndarray, off: np.ndarray) -> None:
         self.buf, self.off, self.rows = buf, off, len(off) - 1
-        self._prefix = None
+        self._eights = None
 
     def lowered(self) -> Texts:
         """A-Z to a-z, everything else untouched."""
@@ -102,12 +101,33 @@ class Texts:
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hash of each byte range; equal bytes give equal hashes anywhere."""
-        if self._prefix is None:
-            p = np.zeros(len(self.buf) + 1, dtype=np.uint64)
-            np.cumsum(_TABLE[self.buf] * _POW.upto(len(self.buf)), out=p[1:])
-            self._prefix = p
-        h = (self._prefix[end] - self._prefix[start]) * _INV.upto(len(self.buf) + 1)[start]
-        return mix64(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        if self._eights is None:
+            self._eights = eights(self.buf)
+        size = end - start
+        h = mix64(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        long = np.flatnonzero(size > SHORT)
+        at = np.flatnonzero((size > 0) & (size <= SHORT)) if len(long) else None
+        left = size if at is None else size[at]
+        place, some = (start, h) if at is None else (start[at], h[at])
+        live, done = np.arange(len(left)), 0
+        while len(live):
+            rest = left[live] - done
+            x = self._eights[place[live] + done] & _FIRST[np.clip(rest, 0, 8)]
+            some[live] = mix64(some[live] ^ x)
+            done += 8
+            live = live[rest > 8]
+        if at is not None:
+            h[at] = some
+            data = memoryview(np.ascontiguousarray(self.buf))
+            one = xxhash.xxh3_64_intdigest
+            h[long] = np.array([one(data[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)], dtype=np.uint64)
+        return h
+
+    def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """128-bit digest of each byte range as two numbers."""
+        data, one = memoryview(np.ascontiguousarray(self.buf)), xxhash.xxh3_128_digest
+        joined = b"".join([one(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        return np.frombuffer(joined, dtype=np.int64).reshape(-1, 2)
 
     def per_row(self, row: np.ndarray) -> np.ndarray:
         return np.bincount(row, minlength=self.rows).astype(np.int64)
@@ -124,6 +144,14 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(buf, off - off[0])
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """Cut batches into runs of rows with about ``limit`` text bytes, each with its byte view."""
     for batch in batches:
@@ -138,7 +166,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             part = batch.slice(at, to - at)
             yield part, texts(part.column(text))
             at = to
-    pa.default_memory_pool().release_unused()  # workers live on between tasks
+    give_back()
 
 
 def shingles(h: np.ndarray, row: np.ndarray, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:

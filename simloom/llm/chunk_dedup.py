@@ -66,12 +66,6 @@ def boundaries(t: Texts, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, t.row_of(starts)
 
 
-def _digests(t: Texts, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = t.hashes(start, end)
-    turned = Texts(t.buf ^ np.uint8(0x5A), t.off)
-    return first, mix64(turned.hashes(start, end) + np.uint64(0x632BE59BD9B4E019))
-
-
 def _row_keys(t: Texts) -> np.ndarray:
     return t.hashes(t.off[:-1], t.off[1:]).view(np.int64)
 
@@ -79,9 +73,9 @@ def _row_keys(t: Texts) -> np.ndarray:
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, t in sliced(batches, "text"):
         start, end, row = boundaries(t)
-        d1, d2 = _digests(t, start, end)
+        digest = t.digests(start, end)
         ids = part.column("doc_id").take(pa.array(row))
-        cols = [ids, pa.array(_row_keys(t)[row]), pa.array((start - t.off[row]).astype(np.int32)), pa.array((end - start).astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))]
+        cols = [ids, pa.array(_row_keys(t)[row]), pa.array((start - t.off[row]).astype(np.int32)), pa.array((end - start).astype(np.int32)), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row_key", "at", "size", "d1", "d2"])
 
 

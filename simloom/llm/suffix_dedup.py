@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.bytetext import Texts, mix64, packed, sliced, unpacked
+from simloom.llm.bytetext import Texts, eights, mix64, packed, sliced, unpacked
 from simloom.scratch import bucketed, materialize
 
 LENGTH, GRAM = 50, 24
@@ -42,6 +42,7 @@ SPAN = LENGTH - GRAM + 1
 #: Text bytes a bucket of the slice table, names a range.
 BUCKET_BYTES, RANGE_NAMES = 16 << 20, 1 << 18
 SHALLOW = 3
+_ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
 class BlindTrie:
@@ -139,7 +140,8 @@ class Runs:
             self.start = self.end = self.row = np.zeros(0, np.int64)
             self.name = np.zeros(0, np.uint64)
             return
-        grams = t.hashes(np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
+        part = mix64(np.ascontiguousarray(eights(t.buf)[: n - 7]))
+        grams = sum(part[k : n - GRAM + 1 + k] * _ODD[k // 8] for k in range(0, GRAM, 8))
         low, have = grams, 1
         while have * 2 <= SPAN:
             low = np.minimum(low[: len(low) - have], low[have:])
@@ -223,6 +225,19 @@ def _answer_names(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": frame["slice"], "range": frame["range"], "blob": bits})
 
 
+def _kinds(name: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct (name, digest), in order of the name, and each place's number among them."""
+    order = np.lexsort((digest[:, 1], digest[:, 0], name))
+    new = np.ones(len(order), dtype=bool)
+    for k in (name, digest[:, 0], digest[:, 1]):
+        k = k[order]
+        new[1:] &= k[1:] == k[:-1]
+    new[1:] = ~new[1:]
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
 def _shared_runs(t: Texts, ids: np.ndarray, answers, ranges: int) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray]:
     """The slice's runs under shared names, the number of each one's distinct context, and one run and the least doc_id of each context."""
     runs = Runs(t)
@@ -232,9 +247,8 @@ def _shared_runs(t: Texts, ids: np.ndarray, answers, ranges: int) -> tuple[Runs,
         if r in got:
             shared[a:b] |= np.unpackbits(np.frombuffer(got[r], dtype=np.uint8), count=b - a).astype(bool)
     use = np.flatnonzero((at >= 0) & shared[np.maximum(at, 0)]) if len(names) else np.zeros(0, int)
-    digest = t.hashes(runs.start[use], runs.end[use] + LENGTH - 1)
-    _, one, context = np.unique(np.stack([runs.name[use], digest]), axis=1, return_index=True, return_inverse=True) if len(use) else (None, use, use)
-    context = np.asarray(context).reshape(-1)
+    digest = t.digests(runs.start[use], runs.end[use] + LENGTH - 1)
+    one, context = _kinds(runs.name[use], digest)
     least = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(least, context, ids[runs.row[use]])
     runs.start, runs.end, runs.row, runs.name = (x[use] for x in (runs.start, runs.end, runs.row, runs.name))
@@ -262,9 +276,7 @@ def _answer_contexts(frame: pd.DataFrame) -> pd.DataFrame:
     buf = np.frombuffer(b"".join(map(unpacked, frame["text"])), dtype=np.uint8)
     off = np.concatenate([[0], np.cumsum(each + LENGTH - 1)])
     t = Texts(buf, off)
-    digest = t.hashes(off[:-1], off[1:])
-    t._prefix = None
-    _, one, same = np.unique(digest, return_index=True, return_inverse=True)
+    one, same = _kinds(np.zeros(len(each), np.uint64), t.digests(off[:-1], off[1:]))
     lowest = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(lowest, same, least)
     # Suffixes of the distinct contexts that start a whole string.
