@@ -134,10 +134,10 @@ class Texts:
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> Texts:
-    """View a string column; nulls become empty texts."""
+    """View a string or binary column; nulls become empty texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     _, offsets, data = column.buffers()
     off = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     buf = np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]] if data is not None and off[-1] > off[0] else np.zeros(0, np.uint8)

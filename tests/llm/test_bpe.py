@@ -58,3 +58,20 @@ def test_query_equals_library(spark, tools):
         want.append((d, len(ids), sha(",".join(map(str, ids)).encode()), sha((t or "").encode())))
     assert got == sorted(want, key=repr)
     assert bpe.encoded(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_pieces_together_equal_one_by_one(tools, monkeypatch):
+    encoder, _ = tools
+    rnd = random.Random(3)
+    pieces = ["".join(chr(rnd.choice([rnd.randrange(97, 123), rnd.randrange(97, 123), rnd.randrange(32, 127), rnd.randrange(0x80, 0x3000)])) for _ in range(rnd.randrange(1, 9))) for _ in range(3000)]
+    data = [p.encode() for p in pieces]
+    table = bpe.table_of(encoder)
+    want = [[encoder.ranks[x] for x in encoder.merged(d)] for d in data]
+    assert bpe.PieceTable(encoder.ranks, table).encode(data) == want
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    memory = bpe._Pieces(encoder, table)
+    for low in range(0, len(pieces), 70):
+        some = set(pieces[low : low + 70]) | set(pieces[:20])
+        known = memory.of(some)
+        assert all(known[p] == (",".join(map(str, encoder.encode(p.encode()))), p.encode()) for p in some)
+        assert len(memory.now) <= 100
