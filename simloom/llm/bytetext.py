@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 2 << 20
 #: Longer ranges are hashed one by one, shorter ones eight bytes of all of them at a time.
@@ -144,6 +145,19 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(buf, off - off[0])
 
 
+def free_name(columns: list[str], wanted: str) -> str:
+    """``wanted``, with underscores added until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def schema_of(df: DataFrame) -> str:
+    """The schema as DDL, for results that keep all columns."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers live on between tasks."""
     pa.default_memory_pool().release_unused()

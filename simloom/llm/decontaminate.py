@@ -2,15 +2,16 @@
 
 A document window has as many words as the benchmark item it is held against.
 Its fingerprint is the sign pattern of the sum of its five-word shingles' hash
-bits. A multi-index cuts the 64 bits into 8 blocks: fingerprints within
-``RADIUS`` bits differ by at most RADIUS // 8 in some block, so looking up
-every block in a table of near block values returns all items within the
-radius. Candidates are verified exactly by the weighted Jaccard similarity
-(shingle counts) of window and item.
-
-Windows that share no shingle with an item have similarity 0 with it, so only
-window starts within reach of a shared shingle are fingerprinted; all of those
-are.
+bits. A multi-index cuts the 64 bits into ``BLOCKS`` blocks: fingerprints
+within ``RADIUS`` bits differ by at most RADIUS // BLOCKS in some block, and
+every item is filed under all block values that near, so one lookup a block
+returns all items within the radius and few others. What the lookup returns
+and lies within the radius is a candidate; candidates are verified exactly by
+the weighted Jaccard similarity (shingle counts) of window and item.
+
+Windows that share no shingle with any item of their size have similarity 0
+with all of them, so leaving those out before fingerprinting is exact; all
+other windows are fingerprinted.
 """
 
 from __future__ import annotations
@@ -24,17 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.bytetext import shingles, sliced, texts
+from simloom.llm.bytetext import free_name, schema_of, shingles, sliced, texts
+from simloom.scratch import materialize
 
 WIDTH = 5
-#: Similarity 0.8 is about 9.7 of 64 bits apart, with a deviation of 2.9.
-RADIUS = 24
-BLOCKS = 8
-#: Items in one broadcast; a larger benchmark is held against the documents in several passes.
-ITEMS_A_PASS = 20_000
+#: Similarity 0.8 is about 9.7 of 64 bits apart, with a deviation of 2.9: a window of just that similarity is found with odds of 0.997.
+RADIUS, BLOCKS = 17, 6
+#: Items and their bytes in one broadcast; a larger benchmark is held against the documents in several passes.
+ITEMS_A_PASS, BYTES_A_PASS = 5_000, 16 << 20
 
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+#: First bit and number of bits of each block.
+_CUTS = [(64 * b // BLOCKS, 64 * (b + 1) // BLOCKS - 64 * b // BLOCKS) for b in range(BLOCKS)]
 
 
 def fingerprints(counted: np.ndarray) -> np.ndarray:
@@ -56,6 +58,11 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return float(least / union) if union else 0.0
 
 
+def _block(prints: np.ndarray, b: int) -> np.ndarray:
+    first, bits = _CUTS[b]
+    return ((prints >> np.uint64(first)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 class Index:
     """Items by shingle and their fingerprints by block."""
 
@@ -80,46 +87,54 @@ class Index:
             seen = np.zeros(1 << 16, dtype=bool)
             seen[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
             self.by_width[w] = keys, np.array([p[2] for p in pairs if p[1] == w]), seen
-        prints = np.array([fingerprints(signs(s).sum(axis=0, keepdims=True))[0] for *_, s in self.items], dtype=np.uint64)
-        self.prints = prints
-        part = prints.view(np.uint8).reshape(-1, BLOCKS)
-        values = np.arange(256, dtype=np.uint8)
-        #: near[b][value] marks the items whose block b is within RADIUS // BLOCKS of the value.
-        self.near = [_POPCOUNT[values[:, None] ^ part[None, :, b]] <= RADIUS // BLOCKS for b in range(BLOCKS)]
-
-    def within(self, prints: np.ndarray, allowed: np.ndarray) -> list[tuple[int, int, int]]:
-        """(window, item, distance) of all pairs within the radius, items restricted to ``allowed``."""
-        blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
-        hit = np.zeros((len(prints), len(self.items)), dtype=bool)
-        for b in range(BLOCKS):
-            hit |= self.near[b][blocks[:, b]]
-        hit &= allowed
-        w, k = np.nonzero(hit)
-        d = _POPCOUNT[(prints[w] ^ self.prints[k]).view(np.uint8).reshape(-1, 8)].sum(axis=1) if len(w) else np.zeros(0, int)
-        return [(int(x), int(y), int(z)) for x, y, z in zip(w, k, d, strict=True) if z <= RADIUS]
+        self.words = np.array([x[1] for x in self.items], dtype=np.int64)
+        self.prints = np.array([fingerprints(signs(s).sum(axis=0, keepdims=True))[0] for *_, s in self.items], dtype=np.uint64)
+        #: lists[b] files every item under the values its block b is near: the items of value v stand from cut[v] to cut[v + 1].
+        self.lists = []
+        for b, (_, bits) in enumerate(_CUTS):
+            values = np.arange(1 << bits, dtype=np.int64)
+            near = [np.flatnonzero(np.bitwise_count(values ^ x) <= RADIUS // BLOCKS) for x in _block(self.prints, b)]
+            value = np.concatenate([*near, np.zeros(0, np.int64)]).astype(np.int64)
+            item = np.repeat(np.arange(len(near)), [len(x) for x in near])
+            order = np.argsort(value, kind="stable")
+            self.lists.append((np.searchsorted(value[order], np.arange((1 << bits) + 1)), item[order].astype(np.int32)))
+
+    def within(self, prints: np.ndarray, words: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Print, item and distance of all pairs within the radius (items of ``words`` words, if given), nearest first."""
+        pairs = [np.zeros(0, np.int64)]
+        for b, (cut, item) in enumerate(self.lists):
+            value = _block(prints, b)
+            many = cut[value + 1] - cut[value]
+            at = np.repeat(cut[value] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            w, k = np.repeat(np.arange(len(prints)), many), item[at].astype(np.int64)
+            if words is not None:
+                fits = self.words[k] == words
+                w, k = w[fits], k[fits]
+            pairs.append(w * len(self.items) + k)
+        w, k = np.divmod(np.unique(np.concatenate(pairs)), max(1, len(self.items)))
+        d = np.bitwise_count(prints[w] ^ self.prints[k]).astype(np.int64)
+        order = np.argsort(d, kind="stable")
+        order = order[d[order] <= RADIUS]
+        return w[order], k[order], d[order]
 
 
 def _matches(index: Index, h: np.ndarray, hits: list[tuple[int, int, int]], num: int, den: int) -> list[int]:
     """Items found in one document. h: its word hashes; hits: (place, width, item) of shared shingles."""
     found: set[int] = set()
-    by_size: dict[tuple[int, int], dict[int, list[int]]] = {}
+    by_size: dict[tuple[int, int], list[int]] = {}
     for p, width, k in hits:
-        by_size.setdefault((index.items[k][1], width), {}).setdefault(k, []).append(p)
+        by_size.setdefault((index.items[k][1], width), []).append(p)
     for (n, width), places in by_size.items():
         size = min(n, len(h))
-        row = np.zeros(len(h), np.int64)
-        s = shingles(h, row, 1, width)[1] if len(h) >= width else np.zeros(0, np.uint64)
         span = size - width + 1  # shingles in a window
         if span < 1:
             continue
+        s = shingles(h, np.zeros(len(h), np.int64), 1, width)[1]
         reach = np.zeros(len(h) - size + 2, dtype=np.int64)
-        for ps in places.values():
-            p = np.array(ps)
-            np.add.at(reach, np.clip(p - span + 1, 0, len(reach) - 1), 1)
-            np.add.at(reach, np.clip(p + 1, 0, len(reach) - 1), -1)
+        p = np.array(places)
+        np.add.at(reach, np.clip(p - span + 1, 0, len(reach) - 1), 1)
+        np.add.at(reach, np.clip(p + 1, 0, len(reach) - 1), -1)
         starts = np.flatnonzero(np.cumsum(reach)[:-1] > 0)
-        allowed = np.zeros(len(index.items), dtype=bool)
-        allowed[list(places)] = True
         for low in range(0, len(starts), 4096):
             some = starts[low : low + 4096]
             left, right = int(some[0]), int(some[-1]) + span
@@ -128,11 +143,10 @@ def _matches(index: Index, h: np.ndarray, hits: list[tuple[int, int, int]], num:
             else:
                 total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(s[left:right]), axis=0, dtype=np.int32)])
                 sums = total[some - left + span] - total[some - left]
-            near = sorted(index.within(fingerprints(sums), allowed), key=lambda x: x[2])
-            for w, k, _ in near:
-                if k not in found and weighted_jaccard(s[some[w] : some[w] + span], index.items[k][3]) * den >= num:
-                    found.add(k)
-                    allowed[k] = False
+            w, k, _ = index.within(fingerprints(sums), n)
+            for a, i in zip(some[w].tolist(), k.tolist(), strict=True):
+                if i not in found and weighted_jaccard(s[a : a + span], index.items[i][3]) * den >= num:
+                    found.add(i)
     return sorted(index.items[k][0] for k in found)
 
 
@@ -141,7 +155,7 @@ def _scan(batches: Iterator[pa.RecordBatch], packed, num: int, den: int) -> Iter
     if getattr(_scan, "_have", (None,))[0] != packed.key:
         _scan._have = packed.key, Index(ids, item_texts)
     index = _scan._have[1]
-    for part, t in sliced(batches, "text"):
+    for part, t in sliced(batches, packed.text):
         low = t.lowered()
         start, end, row = low.words()
         h = low.hashes(start, end)
@@ -160,8 +174,8 @@ def _scan(batches: Iterator[pa.RecordBatch], packed, num: int, den: int) -> Iter
                 r = int(row[at])
                 hits.setdefault(r, []).extend((at - int(first[r]), width, int(k)) for k in owners[a[m] : b[m]])
         out = [_matches(index, h[first[r] : first[r + 1]], hits[r], num, den) if r in hits else [] for r in range(t.rows)]
-        keep = [n for n in part.schema.names if n != "text" or "text" in (packed.keep or ())]
-        yield pa.RecordBatch.from_arrays([part.column(n) for n in keep] + [pa.array(out, pa.list_(pa.int64()))], names=[*keep, "__items"])
+        keep = packed.keep
+        yield pa.RecordBatch.from_arrays([part.column(n) for n in keep] + [pa.array(out, pa.list_(pa.int64()))], names=[*keep, packed.found])
 
 
 class _Packed:
@@ -171,8 +185,8 @@ class _Packed:
     tasks, and an address or a broadcast's number can come again with other items.
     """
 
-    def __init__(self, broadcast, keep: tuple[str, ...]) -> None:
-        self.broadcast, self.keep = broadcast, keep
+    def __init__(self, broadcast, keep: tuple[str, ...], text: str, found: str) -> None:
+        self.broadcast, self.keep, self.text, self.found = broadcast, keep, text, found
         self.key = sha256(repr(broadcast.value).encode()).hexdigest()
 
     @property
@@ -180,22 +194,32 @@ class _Packed:
         return self.broadcast.value
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, num: int, den: int, keep: tuple[str, ...], schema: str) -> DataFrame:
+def _passes(docs: DataFrame, benchmark: DataFrame, num: int, den: int, keep: list[str]) -> tuple[DataFrame, str]:
+    """The columns ``keep`` of ``docs`` with the list of the items found in each row, and that column's name.
+
+    Each pass takes a bounded part of the benchmark to the workers; between
+    two passes the rows are written, so one part is held at a time.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    passes = max(1, -(-items.count() // ITEMS_A_PASS))
-    out, sc = docs, docs.sparkSession.sparkContext
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    passes = max(1, -(-size.n // ITEMS_A_PASS), -(-size.b // BYTES_A_PASS))
+    sc, names = docs.sparkSession.sparkContext, docs.columns
+    found, before = free_name(names, "items"), free_name(names, "items_before")
+    text = "text" if dict(docs.dtypes)["text"] == "string" else free_name(names, "text_")
+    out = docs.select(*dict.fromkeys([*keep, text])) if text == "text" else docs.select(*keep, F.col("text").cast("string").alias(text))
     for p in range(passes):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).collect()
+        out = out.withColumnRenamed(found, before) if p else out
         last = p == passes - 1
-        now = _Packed(sc.broadcast(([r.item_id for r in rows], [r.text for r in rows])), keep if last else (*keep, "text"))
-        cols = schema if last or "text" in keep else f"{schema}, text string"
-        if p:
-            out = out.withColumnRenamed("__items", "__before")
-            cols += ", __before array<bigint>"
-        out = out.mapInArrow(partial(_scan, packed=now, num=num, den=den), f"{cols}, __items array<bigint>")
-        if p:
-            out = out.withColumn("__items", F.array_sort(F.array_union("__before", "__items"))).drop("__before")
-    return out
+        kept = out.select(*keep, *([before] if p else []), *([text] if not last and text not in keep else []))
+        shared = sc.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
+        now = _Packed(shared, tuple(kept.columns), text, found)
+        out = out.mapInArrow(partial(_scan, packed=now, num=num, den=den), f"{schema_of(kept)}, {found} array<bigint>")
+        out = out.withColumn(found, F.array_union(before, found)).drop(before) if p else out
+        if not last:
+            out = materialize(out, "decontaminate-pass")
+            shared.destroy()
+    return out, found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
@@ -205,16 +229,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int
     whole document, if it has fewer) has weighted shingle similarity of at
     least num/den with it. Items of fewer than five words count as one
     shingle and must stand verbatim. Null or wordless texts and items match
-    nothing; items without item_id are ignored; every row gives a row.
+    nothing; items without item_id are ignored; an empty benchmark finds
+    nothing, an empty table gives an empty result; every row gives a row.
+    Whole texts are searched, however long. Other columns are ignored, what
+    they are called included.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = _passes(source, benchmark, num, den, (), "doc_id long")
-    items = F.array_sort(F.array_distinct("__items"))
+    out, found = _passes(source, benchmark, num, den, ["doc_id"])
+    items = F.array_sort(F.array_distinct(found))
     return out.select("doc_id", (F.size(items) > 0).alias("contaminated"), F.size(items).cast("long").alias("n_items"), F.array_join(items.cast("array<string>"), ",").alias("item_ids"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no item is found."""
-    names = tuple(docs.columns)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return _passes(docs, benchmark, num, den, names, fields).where(F.size("__items") == 0).select(*names)
+    """The rows of ``docs``, all columns as they are, in which no item is found; the same cases as ``contamination``."""
+    out, found = _passes(docs, benchmark, num, den, docs.columns)
+    return out.where(F.size(found) == 0).select(*docs.columns)

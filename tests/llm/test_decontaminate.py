@@ -57,7 +57,7 @@ def data():
 
 def test_against_brute_force(spark, monkeypatch):
     docs, items = data()
-    df = spark.createDataFrame([(*r, 1) for r in docs], DOCS + ", n_items int").repartition(4)
+    df = spark.createDataFrame([(*r, 1, 2) for r in docs], DOCS + ", n_items int, items int").repartition(4)
     bench = spark.createDataFrame(items, ITEMS)
     want = model(docs, items)
     assert sum(r[1] for r in want) > 20
@@ -78,10 +78,36 @@ def test_empty_tables(spark):
 def test_a_worker_never_takes_another_item_set():
     """Tasks unpickle their items to addresses that were in use before, as in a worker that lives on."""
     words = ["one two three four five six", "seven eight nine ten eleven twelve"]
-    blobs = [pickle.dumps(dc._Packed(SimpleNamespace(value=([i], [w])), ())) for i, w in enumerate(words)]
+    blobs = [pickle.dumps(dc._Packed(SimpleNamespace(value=([i], [w])), (), "text", "items")) for i, w in enumerate(words)]
     batch = pa.RecordBatch.from_pydict({"doc_id": [0, 1], "text": words})
     for step in range(40):
         packed = pickle.loads(blobs[step % 2])
-        got = [x for b in dc._scan(iter([batch]), packed, 80, 100) for x in b.column("__items").to_pylist()]
+        got = [x for b in dc._scan(iter([batch]), packed, 80, 100) for x in b.column("items").to_pylist()]
         assert got == ([[0], []] if step % 2 == 0 else [[], [1]]), step
         del packed
+
+
+def test_index_finds_all_within_the_radius_and_what_is_similar():
+    rnd = random.Random(11)
+    vocab = [f"v{i}" for i in range(3000)]
+    make = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    items = [make(rnd.randrange(12, 90)) for _ in range(300)]
+    index = dc.Index(list(range(300)), [" ".join(x) for x in items])
+    near, prints = [], []
+    for i in rnd.choices(range(300), k=3000):
+        x = list(items[i])
+        for _ in range(rnd.randrange(1, 3)):
+            x[rnd.choice([0, 1, 2, -1, -2, -3, rnd.randrange(len(x))])] = rnd.choice(vocab)
+        have, want = grams(x, 5), grams(items[i], 5)
+        least = sum((have & want).values())
+        if 0.8 <= least / (sum(have.values()) + sum(want.values()) - least) < 0.9:
+            near.append(i)
+            prints.append(dc.Index([0], [" ".join(x)]).prints[0])
+    prints = dc.np.array(prints, dtype=dc.np.uint64)
+    w, k, d = index.within(prints)
+    assert len(near) > 300 and sum(i in set(k[w == j].tolist()) for j, i in enumerate(near)) >= 0.98 * len(near)
+    brute_force = {(j, i) for j, p in enumerate(prints.tolist()) for i, q in enumerate(index.prints.tolist()) if bin(p ^ q).count("1") <= dc.RADIUS}
+    assert set(zip(w.tolist(), k.tolist())) == brute_force
+    some = dc.np.array([rnd.getrandbits(64) for _ in range(500)], dtype=dc.np.uint64)
+    looked_at = sum(int((cut[v + 1] - cut[v]).sum()) for b, (cut, _) in enumerate(index.lists) for v in [dc._block(some, b)])
+    assert looked_at < 0.25 * 500 * 300  # an unrelated print meets few items
