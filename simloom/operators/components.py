@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.scratch import materialize
+from simloom.scratch import materialize, release
 
 
 def _hub_pairs(edges: DataFrame) -> DataFrame:
@@ -69,6 +69,7 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
             F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))).alias("s"),
             F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31))).alias("t"),
         ).first()
+        release(e)  # rounds are written whole, so none reads the one before
         e, before, state = nxt, state, (row.n, row.s, row.t)
         if before == state or row.n == 0:
             break
