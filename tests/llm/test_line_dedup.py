@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import corpus_pipeline
@@ -39,9 +40,40 @@ def test_against_model(spark):
         assert sorted(map(tuple, line_dedup.line_dedup(df, m).collect()), key=repr) == model(ROWS, m), m
 
 
+def random_rows(seed):
+    rnd = random.Random(seed)
+    block = lambda: [rnd.choice("abcdef") * rnd.randrange(1, 3) for _ in range(rnd.randrange(1, 12))]
+    shared = [block() for _ in range(4)]
+    return [(d, "\n".join(x for _ in range(rnd.randrange(0, 4)) for x in (rnd.choice(shared) if rnd.random() < 0.6 else block()))) for d in range(40)]
+
+
+def test_random_texts_against_model(spark):
+    rows = random_rows(3)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for m in (2, 3):
+        assert sorted(map(tuple, line_dedup.line_dedup(df, m).collect()), key=repr) == model(rows, m), m
+
+
+def test_runs_have_exact_common_prefixes_and_are_maximal(spark):
+    rows = random_rows(4) + [(100 + i, "\n".join(f"line {j}" for j in range(37))) for i in range(3)]
+    lines = {d: t.split("\n") for d, t in rows}
+    places = line_dedup.materialize(line_dedup.line_places(spark.createDataFrame(rows, SCHEMA)), "lines")
+    levels = line_dedup.suffix_levels(places)
+    assert [d for d, _ in levels][:3] == [1, 2, 4] and levels[-1][0] >= 32 and levels[-1][1].count() > 0
+    runs = [(r.doc_id, r.k, r.lcp, r.first.doc_id, r.first.k) for r in line_dedup.maximal_runs(levels).collect()]
+    for d, k, n, e, f in runs:
+        assert (e, f) < (d, k)
+        a, b = lines[d][k:], lines[e][f:]
+        assert n == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) >= 2
+        assert not any(d2 == d and (k2, n2) != (k, n) and k2 <= k and k2 + n2 >= k + n for d2, k2, n2, _, _ in runs)
+    assert {(101, 0, 37, 100, 0), (102, 0, 37, 100, 0)} <= set(runs)
+
+
 def test_cleaned_keeps_columns_and_repeats(spark):
     df = spark.createDataFrame([(1, "a\nb", 7), (2, "a\nb", 8), (2, "a\nb", 8), (3, "", 9)], SCHEMA + ", rank int")
     assert sorted(map(tuple, line_dedup.cleaned(df).collect())) == [(1, "a\nb", 7), (3, "", 9)]
+    odd = spark.createDataFrame([(1, "a\nb", 7, 1, 2), (2, "c\na\nb", 8, 1, 2), (3, None, 9, 1, 2)], SCHEMA + ", key int, lines int, row int")
+    assert sorted(map(tuple, line_dedup.cleaned(odd).collect())) == [(1, "a\nb", 7, 1, 2), (2, "c", 8, 1, 2), (3, None, 9, 1, 2)]
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
