@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simloom.functions.text import KEYWORDS
@@ -31,6 +31,18 @@ _MASTER = re.compile(
     re.S,
 )
 _WORDS = frozenset(KEYWORDS)
+#: The same with whole templates, whose ``${...}`` may hold braces one level deep: for readers that match brackets.
+_WHOLE = re.compile(_MASTER.pattern.replace(r"`(?:\\.|\$(?!\{)|[^`\\$])*(?:`|\$\{|\Z)", r"`(?:\\.|\$\{(?:[^{}`]|\{[^{}`]*\}|`[^`]*`)*\}|[^`\\])*(?:`|\Z)"), re.S)
+
+
+def scan(text: str) -> list[tuple[str, str, int]]:
+    """(kind, value, offset) of everything in a text, white space, comments and whole templates included."""
+    return [(m.lastgroup, m[0], m.start()) for m in _WHOLE.finditer(text)]
+
+
+def is_kind(token_type: Column, *kinds: str) -> Column:
+    """Whether a token's type is one of ``kinds`` (KEYWORD, IDENTIFIER, LITERAL, ...)."""
+    return token_type.isin(*kinds)
 
 
 def tokenize(

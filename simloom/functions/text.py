@@ -161,6 +161,11 @@ def is_ignored_type(c: Column) -> Column:
     return F.coalesce(c == "", F.lit(True)) | F.forall(F.transform(parts, unwrapped), one)
 
 
+def type_name(class_name: Column, name: Column, text: Column) -> Column:
+    """Class name of a type: of its signature, else its own name, else its text, else empty."""
+    return F.coalesce(F.nullif(class_name, F.lit("")), F.nullif(name, F.lit("")), text, F.lit(""))
+
+
 def offset_line(text: Column, offset: Column) -> tuple[Column, Column]:
     """1-based line and 0-based column of a character offset."""
     head = F.left(text, offset)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simloom.operators.components import connected_components
+from simloom.operators.order import numbered
 from simloom.scratch import materialize
 
 RATIO = 1.25
@@ -60,7 +61,48 @@ def near_miss_pairs(methods: DataFrame, threshold: float = 0.8) -> DataFrame:
     return out.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")
 
 
-def clone_classes(pairs: DataFrame) -> DataFrame:
-    """``class_key, members, size``: connected members, named by their smallest."""
-    labels = connected_components(pairs)
-    return labels.groupBy(F.col("component").alias("class_key")).agg(F.array_sort(F.collect_list("vertex")).alias("members"), F.count(F.lit(1)).alias("size"))
+def first_pairs(methods: DataFrame, by_content: bool = True) -> DataFrame:
+    """``key, bucket, a, b``: of all exact pairs with one unordered pair of ``key`` values the first one found.
+
+    Pairs are found by content in order of its first method, then by ``a`` and
+    ``b`` (without ``by_content`` by those alone). Of each content and key only the two earliest methods can be in a
+    first pair, so a group of copies takes part with its distinct keys.
+    """
+    named = methods.select("seq", "key", F.sha2("content", 256).alias("h"))
+    reps = named.groupBy("h", "key").agg(F.min("seq").alias("a"), F.count(F.lit(1)).alias("c"))
+    second = named.join(reps.where("c > 1").select("h", "key", F.col("a").alias("lo")), ["h", "key"]).where("seq > lo").groupBy("h", "key").agg(F.min("seq").alias("b"))
+    reps = reps.join(second, ["h", "key"], "left")
+    buckets = reps.groupBy("h").agg(F.min("a").alias("bucket"), F.sum("c").alias("n")).where("n > 1").select("h", "bucket")
+    reps = materialize(reps.join(buckets, "h"), "first-copies")
+    same = reps.where("b is not null").select(pair_key(F.col("key"), F.col("key")).alias("key"), "bucket", "a", "b")
+    x, y = (reps.select("h", "bucket", F.col("key").alias(f"k{i}"), F.col("a").alias(f"a{i}")) for i in (1, 2))
+    cross = x.join(y.drop("bucket"), "h").where("k1 < k2").select(pair_key(F.col("k1"), F.col("k2")).alias("key"), "bucket", F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b"))
+    first = same.unionByName(cross).groupBy("key").agg(F.min(F.struct("bucket", "a", "b") if by_content else F.struct("a", "b", "bucket")).alias("p"))
+    return first.select("key", "p.bucket", "p.a", "p.b")
+
+
+def exact_links(methods: DataFrame) -> DataFrame:
+    """``a, b``: every method of a group of equal ``content`` with the group's first, so n - 1 rows for n copies."""
+    named = methods.select("seq", F.sha2("content", 256).alias("h"))
+    heads = named.groupBy("h").agg(F.min("seq").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "a")
+    return named.join(heads, "h").where("a <> seq").select("a", F.col("seq").alias("b"))
+
+
+def exact_pair_counts(methods: DataFrame, by: str) -> DataFrame:
+    """``by, pairs``: exact pairs by a column of their earlier method, counted from places in the sorted groups, never listed."""
+    named = methods.select("seq", by, F.sha2("content", 256).alias("h"))
+    several = named.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    placed = numbered(named.join(several, "h", "left_semi"), "i", "h", "seq")
+    last = placed.groupBy("h").agg(F.max("i").alias("last"))
+    return placed.join(last, "h").where("i < last").groupBy(by).agg(F.sum(F.col("last") - F.col("i")).alias("pairs"))
+
+
+def clone_members(links: DataFrame) -> DataFrame:
+    """``class_key, member``: one row a member of each class, named by its smallest."""
+    labels = connected_components(links)
+    return labels.select(F.col("component").alias("class_key"), F.col("vertex").alias("member"))
+
+
+def clone_classes(links: DataFrame) -> DataFrame:
+    """``class_key, size, members``: for reports, whose classes are listed in one text; ``clone_members`` has no such list."""
+    return clone_members(links).groupBy("class_key").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list("member")).alias("members"))

@@ -1,12 +1,19 @@
 """Duplicated fragments: token windows, pairs, merged runs, greedy interval dedup.
 
-Windows are matched by a hash of their tokens first; only windows whose hash
-occurs twice keep their text for the exact join, so unique text never
-travels further.
+Windows are named by a double rolling hash and a second hash of their tokens;
+only the names of windows that occur twice go on, and text never travels.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,22 +39,107 @@ def rolling_hash(ids: Column, base: int, mod: int) -> Column:
     return F.aggregate(ids, F.lit(0).cast("long"), lambda h, x: F.pmod(h * base + x, F.lit(mod)))
 
 
-def repeated_fingerprints(wins: DataFrame) -> DataFrame:
-    """``fp, copies`` of fingerprints that occur twice or more."""
-    return wins.select(fingerprint(F.col("w")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+#: Bases and moduli of the double rolling hash.
+ROLLING = ((131, 1_000_000_007), (137, 1_000_000_009))
+
+
+def rolling_hashes(ids: np.ndarray, size: int, base: int, mod: int) -> np.ndarray:
+    """Polynomial hash of every window of ``size`` ids, as if slid along: windows of twice the size come from two halves."""
+    if size <= 0:
+        raise ValueError("window size must be positive")
+    if len(ids) < size:
+        return np.zeros(0, dtype=np.int64)
+    whole, have, block, width = None, 0, ids.astype(np.int64) % mod, 1
+    while True:
+        if size & width:  # the bits of the size from the lowest: block stands before what is there
+            n = len(ids) - have - width + 1
+            whole = block[:n] if whole is None else (block[:n] * pow(base, have, mod) + whole[width : width + n]) % mod
+            have += width
+        if have == size:
+            return whole
+        block = (block[:-width] * pow(base, width, mod) + block[width:]) % mod
+        width *= 2
+
+
+def _hashed(batches: Iterator[pa.RecordBatch], size: int, stride: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = batch.column("ids")
+        flat, off = words.values.to_numpy(zero_copy_only=False), words.offsets.to_numpy()
+        for i in range(batch.num_rows):
+            own = flat[off[i] : off[i + 1]].view(np.uint64)
+            if len(own) < size:
+                continue
+            (b1, m1), (b2, m2) = ROLLING
+            low = (rolling_hashes(own % np.uint64(m1), size, b1, m1) << 31 | rolling_hashes(own % np.uint64(m2), size, b2, m2))[::stride]
+            # A second, unrelated name: bits of the words mixed pairwise over doubled distances.
+            mixed, width, whole, have = own, 1, None, 0
+            while have < size:
+                if size & width:
+                    n = len(own) - have - width + 1
+                    whole = mixed[:n] if whole is None else _mix(mixed[:n] * np.uint64(0x9E3779B97F4A7C15) ^ whole[width : width + n])
+                    have += width
+                if have < size:
+                    mixed = _mix(mixed[:-width] * np.uint64(0x9E3779B97F4A7C15) ^ mixed[width:])
+                    width *= 2
+            n = len(low)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([batch.column("file")[i].as_py()] * n, batch.column("file").type), pa.array(np.arange(n, dtype=np.int64) * stride), pa.array(low), pa.array(whole[::stride].view(np.int64))],
+                names=["file", "start", "h", "h2"],
+            )
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def hashed_windows(tokens: DataFrame, size: int, stride: int = 1) -> DataFrame:
+    """``file, start, h, h2``: windows of the ``tokens`` array by their double rolling hash ``h`` and a second hash ``h2``.
+
+    Equal windows have equal names; with about 124 bits, others do not. Each
+    file is hashed in a time that grows with its length, whatever the size.
+    """
+    if size <= 0:
+        raise ValueError("window size must be positive")
+    kind = dict(tokens.dtypes)["file"]
+    ids = tokens.select("file", F.transform("tokens", lambda t: F.xxhash64(t)).alias("ids"))
+    return ids.mapInArrow(partial(_hashed, size=size, stride=max(1, stride)), f"file {kind}, start long, h long, h2 long")
+
+
+def repeated_fingerprints(tokens: DataFrame, size: int) -> DataFrame:
+    """``h, h2, copies`` of windows that occur twice or more; their text is never moved."""
+    return hashed_windows(tokens, size).groupBy("h", "h2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
 def window_pairs(tokens: DataFrame, size: int) -> DataFrame:
-    """``f1, s1, f2, s2`` of equal windows; in one file only where they do not overlap."""
-    wins = windows(tokens, size).select("file", "start", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(3), "w").alias("h2"))
-    wins = materialize(wins, "windows")
-    hot = wins.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "h2")
-    kept = wins.join(hot, ["h", "h2"], "left_semi")
+    """``f1, s1, f2, s2`` of equal windows; in one file only where they do not overlap.
+
+    A list of pairs by its meaning: it grows with the square of the copies.
+    ``window_pair_counts`` gives their number without it.
+    """
+    kept = _repeated(tokens, size)
     a, b = (kept.select(F.col("file").alias(f"f{i}"), F.col("start").alias(f"s{i}"), "h", "h2") for i in (1, 2))
     before = (F.col("f1") < F.col("f2")) | ((F.col("f1") == F.col("f2")) & (F.col("s2") - F.col("s1") >= size))
     return a.join(b, ["h", "h2"]).where(before).select("f1", "s1", "f2", "s2")
 
 
+def _repeated(tokens: DataFrame, size: int) -> DataFrame:
+    wins = materialize(hashed_windows(tokens, size), "windows")
+    hot = wins.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "h2")
+    return materialize(wins.join(hot, ["h", "h2"], "left_semi"), "repeated-windows")
+
+
+def window_pair_counts(tokens: DataFrame, size: int) -> DataFrame:
+    """``f1, f2, pairs, first_start``: how many window pairs two files have, counted by window and file, never listed."""
+    kept = _repeated(tokens, size)
+    per = materialize(kept.groupBy("h", "h2", "file").agg(F.count(F.lit(1)).alias("c"), F.min("start").alias("lo")), "windows-by-file")
+    a, b = (per.select(F.col("file").alias(f"f{i}"), F.col("c").alias(f"c{i}"), F.col("lo").alias(f"lo{i}"), "h", "h2") for i in (1, 2))
+    across = a.join(b, ["h", "h2"]).where("f1 < f2").select("f1", "f2", (F.col("c1") * F.col("c2")).alias("pairs"), F.col("lo1").alias("first_start"))
+    far = Window.partitionBy("h", "h2", "file").orderBy("start").rangeBetween(size, Window.unboundedFollowing)
+    within = kept.withColumn("pairs", F.count(F.lit(1)).over(far)).where("pairs > 0").select(F.col("file").alias("f1"), F.col("file").alias("f2"), "pairs", F.col("start").alias("first_start"))
+    return across.unionByName(within).groupBy("f1", "f2").agg(F.sum("pairs").alias("pairs"), F.min("first_start").alias("first_start"))
+
+
 def merge_runs(pairs: DataFrame, size: int) -> DataFrame:
     """Runs of pairs that follow each other by one token in both files.
 
@@ -70,14 +162,36 @@ def drop_self_overlaps(runs: DataFrame) -> DataFrame:
     return runs.where((F.col("f1") != F.col("f2")) | ~overlap(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2")))
 
 
+def _kept_runs(frame: pd.DataFrame) -> pd.DataFrame:
+    """Rows that overlap no kept row in both ranges, in order of starts and then size.
+
+    Kept rows that reach the current start overlap each other in the first
+    range, so their second ranges are apart and a sorted list of them suffices.
+    """
+    frame = frame.sort_values(["s1", "s2", "token_count"], ascending=[True, True, False], kind="stable")
+    ends, starts, spans, keep = [], [], {}, []
+    for s1, e1, s2, e2 in zip(frame["s1"].tolist(), frame["e1"].tolist(), frame["s2"].tolist(), frame["e2"].tolist(), strict=True):
+        while ends and ends[0][0] < s1:
+            gone = heapq.heappop(ends)[1]
+            starts.pop(bisect.bisect_left(starts, gone))
+            del spans[gone]
+        at = bisect.bisect_right(starts, e2) - 1
+        free = at < 0 or spans[starts[at]] < s2
+        keep.append(free)
+        if free and e1 >= s1:
+            heapq.heappush(ends, (e1, s2))
+            bisect.insort(starts, s2)
+            spans[s2] = e2
+    return frame[keep]
+
+
 def greedy_dedup(runs: DataFrame) -> DataFrame:
-    """Per file pair, in order of start and then size, a run stays if it overlaps no kept run in both files."""
-    rows = F.array_sort(F.collect_list(F.struct("s1", "s2", (-F.col("token_count")).alias("neg"), "e1", "e2")))
-    hits = lambda k, c: overlap(k["s1"], k["e1"], c["s1"], c["e1"]) & overlap(k["s2"], k["e2"], c["s2"], c["e2"])
-    empty = F.slice(F.col("r"), 1, 0)
-    kept = F.aggregate("r", empty, lambda acc, c: F.when(F.exists(acc, lambda k: hits(k, c)), acc).otherwise(F.concat(acc, F.array(c))))
-    out = runs.groupBy("f1", "f2").agg(rows.alias("r")).select("f1", "f2", F.explode(kept).alias("c"))
-    return out.select("f1", "c.s1", "c.e1", "f2", "c.s2", "c.e2", (-F.col("c.neg")).alias("token_count"))
+    """Per file pair, in order of start and then size, a run stays if it overlaps no kept run in both files.
+
+    All columns stay; ``s1, e1, s2, e2`` may be places or lines. The runs of
+    one pair of files meet in one task, in time that grows with their number.
+    """
+    return runs.groupBy("f1", "f2").applyInPandas(_kept_runs, runs.schema)
 
 
 def near_blocks(tokens: DataFrame, size: int, threshold: float, q: int = 3) -> DataFrame:

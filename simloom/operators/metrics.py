@@ -11,10 +11,10 @@ from simloom.functions import text as T
 LIFECYCLE = ("aboutToAppear", "aboutToDisappear", "onPageShow", "onPageHide", "onBackPress")
 
 
-def is_ui_method(class_kind: Column, method: Column, decorators: Column, has_view_tree: Column) -> Column:
-    """Builders, methods with a view tree, a struct's build, and life-cycle methods of components."""
+def is_ui_method(class_kind: Column, method: Column, decorators: Column, has_view_tree: Column, class_decorators: Column | None = None) -> Column:
+    """Builders, methods with a view tree, a struct's build, and life-cycle methods of components (a class decorator)."""
     struct = class_kind == "STRUCT"
-    component = struct & method.isin(*LIFECYCLE) & F.array_contains(decorators, "Component")
+    component = struct & method.isin(*LIFECYCLE) & F.array_contains(decorators if class_decorators is None else class_decorators, "Component")
     return F.coalesce(F.array_contains(decorators, "Builder") | has_view_tree | (struct & (method == "build")) | component, F.lit(False))
 
 
@@ -129,20 +129,49 @@ def conditional_tokens(tokens: DataFrame) -> DataFrame:
 
 
 def if_chains(conditionals: DataFrame, min_branches: int = 1) -> DataFrame:
-    """``file, pos, branches`` of each chain that does not stand inside an else block."""
-    c = conditionals
-    heads, other = c.where("kind = 'if'").alias("h"), c.alias("o")
-    same = F.col("h.file") == F.col("o.file")
-    outer = heads.join(other, same & (F.col("o.pos") < F.col("h.pos")) & (F.col("o.depth") < F.col("h.depth")), "left")
-    outer = outer.groupBy("h.file", "h.pos", "h.depth").agg(F.max(F.struct("o.pos", "o.kind", F.col("o.depth").alias("d"))).alias("near"))
-    nested = F.coalesce((F.col("near.kind") == "else") & (F.col("near.d") == F.col("depth") - 1), F.lit(False))
-    free = outer.where(~nested).select("file", "pos", "depth").alias("h")
-    after = (F.col("h.file") == F.col("o.file")) & (F.col("o.pos") > F.col("h.pos")) & (F.col("o.depth") <= F.col("h.depth"))
-    later = free.join(other, after, "left").select("h.file", "h.pos", "h.depth", F.col("o.pos").alias("p"), F.col("o.kind").alias("k"), F.col("o.depth").alias("d"))
-    each = Window.partitionBy("file", "pos")
-    stop = F.min(F.when((F.col("d") < F.col("depth")) | F.col("k").isin("else", "if"), F.col("p"))).over(each)
-    counted = later.withColumn("stop", stop).groupBy("file", "pos").agg((F.count(F.when((F.col("k") == "elseIf") & (F.col("stop").isNull() | (F.col("p") < F.col("stop"))), 1)) + 1).alias("branches"))
-    return counted.where(F.col("branches") >= min_branches)
+    """``file, pos, branches`` of each chain that does not stand inside an else block.
+
+    One pass over a file's conditionals in order with a stack of the blocks
+    that are open: a conditional closes all that lie deeper, an ``else`` or
+    ``if`` also the chain of its own depth, an ``elseIf`` makes that longer.
+    """
+    entry = "struct<depth:bigint,kind:string,head:bigint,branches:bigint>"
+    found = "struct<pos:bigint,branches:bigint>"
+    rows = F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "kind", F.col("depth").cast("long").alias("depth"))))
+    none = F.struct(F.array().cast(f"array<{entry}>").alias("open"), F.array().cast(f"array<{found}>").alias("out"))
+    chains = lambda es: F.transform(F.filter(es, lambda e: e["head"] >= 0), lambda e: F.struct(e["head"].alias("pos"), e["branches"].alias("branches")))
+
+    def step(s: Column, t: Column) -> Column:
+        below, deeper = F.filter(s["open"], lambda e: e["depth"] < t["depth"]), F.filter(s["open"], lambda e: e["depth"] > t["depth"])
+        level = F.filter(s["open"], lambda e: e["depth"] == t["depth"])
+        top = F.try_element_at(below, F.lit(-1))
+        nested = F.coalesce((t["depth"] > 0) & (top["kind"] == "else") & (top["depth"] == t["depth"] - 1), F.lit(False))
+        mine = F.try_element_at(level, F.lit(-1))
+        goes_on = t["kind"] == "elseIf"
+        head = F.when(goes_on, F.coalesce(mine["head"], F.lit(-1))).when((t["kind"] == "if") & ~nested, t["pos"]).otherwise(F.lit(-1).cast("long"))
+        branches = F.when(goes_on, F.coalesce(mine["branches"], F.lit(0)) + 1).otherwise(F.lit(1).cast("long"))
+        new = F.struct(t["depth"].alias("depth"), t["kind"].alias("kind"), head.cast("long").alias("head"), branches.cast("long").alias("branches"))
+        done = F.concat(s["out"], chains(deeper), F.when(goes_on, F.array().cast(f"array<{found}>")).otherwise(chains(level)))
+        return F.struct(F.concat(below, F.array(new)).alias("open"), done.alias("out"))
+
+    folded = conditionals.groupBy("file").agg(rows.alias("t")).select("file", F.explode(F.aggregate("t", none, step, lambda s: F.concat(s["out"], chains(s["open"])))).alias("c"))
+    return folded.select("file", "c.pos", "c.branches").where(F.col("branches") >= min_branches)
+
+
+def delimited_block(texts: Column, start: Column) -> Column:
+    """Text from element ``start`` (from 0) to the one that brings the braces back to zero; only the first if it holds a whole switch."""
+    first = F.get(texts, start)
+    whole = (T.brace_delta(first) <= 0) & T.contains_switch(first) & (T.case_count(first) > 0)
+    state = F.struct(T.brace_delta(first).alias("depth"), F.array(first).alias("out"), whole.alias("done"))
+
+    def step(s: Column, x: Column) -> Column:
+        depth = s["depth"] + T.brace_delta(x)
+        return F.struct(
+            F.when(s["done"], s["depth"]).otherwise(depth).alias("depth"), F.when(s["done"], s["out"]).otherwise(F.concat(s["out"], F.array(x))).alias("out"), (s["done"] | (depth <= 0)).alias("done")
+        )
+
+    rest = F.slice(texts, start + 2, F.greatest(F.size(texts) - start - 1, F.lit(0)))
+    return F.aggregate(rest, state, step, lambda s: F.array_join(s["out"], "\n"))
 
 
 def scope(c1: Column, m1: Column, c2: Column, m2: Column, same_file: Column) -> Column:
@@ -153,21 +182,3 @@ def scope(c1: Column, m1: Column, c2: Column, m2: Column, same_file: Column) ->
 
 def scope_text(s: Column) -> Column:
     return F.when(s == "SAME_METHOD", "same method").when(s == "SAME_CLASS", "same class").when(s == "DIFFERENT_CLASS", "different classes").otherwise("unknown")
-
-
-def fresh_aliases(assignments: DataFrame, rounds: int = 32) -> DataFrame:
-    """Per ``method``: names that reach, over ``target = source`` chains, a name defined by ``new``.
-
-    ``assignments``: method, target, source, is_new. The fixpoint is reached
-    after as many rounds as the longest chain; more than ``rounds`` raises.
-    """
-    fresh = assignments.where("is_new").select("method", F.col("target").alias("name")).distinct()
-    edges = assignments.where("not is_new").select("method", "target", "source")
-    size = fresh.count()
-    for _ in range(rounds):
-        more = edges.join(fresh, (edges.source == fresh.name) & (edges.method == fresh.method)).select(edges.method, F.col("target").alias("name"))
-        fresh = fresh.union(more).distinct().checkpoint() if edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else fresh.union(more).distinct()
-        before, size = size, fresh.count()
-        if before == size:
-            return fresh
-    raise RuntimeError("alias chains are longer than the rounds allowed")

@@ -39,6 +39,38 @@ def with_severity(df: DataFrame, override: Column, alert: Column, default: int)
     return df.withColumn("severity", F.coalesce(override, alert, F.lit(default)).cast("int"))
 
 
+def js_round(x: Column) -> Column:
+    """Nearest whole number, halves upwards (also below zero)."""
+    return F.floor(x + 0.5)
+
+
+def to_fixed(x: Column, digits: int = 2) -> Column:
+    """Fixed digits; halves go away from zero by the exact binary value, not by its shortest decimal text (1.005 is 1.00)."""
+    x, scale = F.abs(x), float(10**digits)
+    n = F.floor(x * scale + 0.5)
+    # x * 2 * scale = p + e exactly, so the sign of r tells whether n - 0.5 <= x * scale.
+    big = x * 134217729.0
+    high = big - (big - x)
+    p = x * (2 * scale)
+    r = (p - (n * 2 - 1)) + ((high * (2 * scale) - p) + (x - high) * (2 * scale))
+    n = F.when(r < 0, n - 1).when(r >= 2, n + 1).otherwise(n).cast("long")
+    whole = F.concat(F.floor(n / F.lit(10**digits)).cast("string"), F.lit("."), F.lpad(F.pmod(n, F.lit(10**digits)).cast("string"), digits, "0"))
+    return whole
+
+
+def signed_fixed(x: Column, digits: int = 2) -> Column:
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), to_fixed(x, digits))
+
+
+def safe_name(name: Column) -> Column:
+    """A name fit for files: everything but letters, digits, dot, underscore and hyphen becomes an underscore."""
+    return F.regexp_replace(name, "[^A-Za-z0-9._-]", "_")
+
+
+def clone_kind(normalize_identifiers: bool, normalize_literals: bool) -> str:
+    return "Type-2" if normalize_identifiers or normalize_literals else "Type-1"
+
+
 def location_text(file: Column, cls: Column, method: Column, start: Column, end: Column, full: bool = False) -> Column:
     path = file if full else base_name(file)
     span = F.concat(F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
@@ -46,10 +78,14 @@ def location_text(file: Column, cls: Column, method: Column, start: Column, end:
     return F.concat(path, named, span)
 
 
-def fragment_text(kind: str, scope: Column, left: Column, right: Column, tokens: Column, lines: Column, similarity: Column | None = None) -> Column:
-    pct = F.lit("") if similarity is None else F.when(similarity < 1, F.concat(F.lit(", "), F.floor(similarity * 100 + 0.5).cast("string"), F.lit("% similar"))).otherwise("")
+# The texts of the issues below.
+FOR_EACH_TEXT = "For performance purposes, set keyGenerator for ForEach."
+
+
+def fragment_text(kind: Column, scope: Column, left: Column, right: Column, tokens: Column, lines: Column, similarity: Column | None = None) -> Column:
+    pct = F.lit("") if similarity is None else F.when(similarity < 1, F.concat(F.lit(", "), js_round(similarity * 100).cast("string"), F.lit("% similar"))).otherwise("")
     return F.concat(
-        F.lit(f"Code Clone {kind} ("), scope, F.lit("): "), left, F.lit(" is similar to "), right, F.lit(". ("),
+        F.lit("Code Clone "), kind, F.lit(" ("), scope, F.lit("): "), left, F.lit(" is similar to "), right, F.lit(". ("),
         tokens.cast("string"), F.lit(" tokens, "), lines.cast("string"), F.lit(" lines"), pct, F.lit(")"),
     )
 
@@ -63,22 +99,48 @@ def method_text(kind: str, name: Column, start: Column, end: Column, cls2: Colum
     same = F.format_string("Code Clone Type-2: %s is structurally identical to %s. (%d statements, renamed identifiers)", anchor, target, stmts)
     if similarity is None:
         return same
-    near = F.format_string("Code Clone Type-2: %s is similar to %s. (%d statements, %d%% similar)", anchor, target, stmts, F.floor(similarity * 100 + 0.5))
+    near = F.format_string("Code Clone Type-2: %s is similar to %s. (%d statements, %d%% similar)", anchor, target, stmts, js_round(similarity * 100))
     return F.when(similarity < 1, near).otherwise(same)
 
 
-def rule_columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Issues per ``project`` in the columns that ``columns`` gives rules; other rules are dropped."""
+def rule_columns(df: DataFrame, columns: dict[str, str], count: Column | None = None) -> DataFrame:
+    """Issues per ``project`` in the columns that ``columns`` gives rules; other rules are dropped. ``count`` adds up rows that stand for several."""
     names = list(dict.fromkeys(columns.values()))
     mapped = df.replace(columns, subset=["rule"]).where(F.col("rule").isin(names))
-    return mapped.groupBy("project").pivot("rule", names).count().na.fill(0)
+    return mapped.groupBy("project").pivot("rule", names).agg(F.count(F.lit(1)) if count is None else count).na.fill(0)
 
 
-def rule_matrix(df: DataFrame, projects: list[str]) -> DataFrame:
+def rule_matrix(df: DataFrame, projects: list[str], count: Column | None = None) -> DataFrame:
     """Rules by projects with a total, in order of rule."""
-    wide = df.where(F.col("project").isin(projects)).groupBy("rule").pivot("project", projects).count().na.fill(0)
+    wide = df.where(F.col("project").isin(projects)).groupBy("rule").pivot("project", projects).agg(F.count(F.lit(1)) if count is None else count).na.fill(0)
     return wide.withColumn("total", sum((F.col(f"`{p}`") for p in projects), F.lit(0))).orderBy("rule")
 
 
 def average_text(loc: Column, count: Column) -> Column:
     return F.when(count > 0, F.format_string("%.2f", loc / count)).otherwise("")
+
+
+def long_method_text(name: Column, lines: Column, limit: Column) -> Column:
+    return F.format_string("Method '%s' is too long. Consider refactoring. (Current: %d lines, Max: %d)", name, lines, limit)
+
+
+def switch_text(cases: Column, name: Column, summary: Column) -> Column:
+    return F.format_string("Switch statement with %d cases detected in method '%s'. Consider using polymorphism or strategy. Case line counts: %s.", cases, name, summary)
+
+
+def chain_text(branches: Column, name: Column) -> Column:
+    return F.format_string("Long if-else chain with %d branches detected in method '%s'. Consider using polymorphism or strategy.", branches, name)
+
+
+def envy_text(name: Column, provider: Column, atfd: Column, lda: Column, cpfd: Column) -> Column:
+    return F.format_string("Method '%s' is feature-envious toward '%s' (ATFD=%d, LDA=%s, CPFD=%d). Consider moving logic or introducing delegation.", name, provider, atfd, to_fixed(lda), cpfd)
+
+
+def class_text(kind: str, number: Column, size: Column, members: Column, scope: Column | None = None) -> Column:
+    """Text of a clone class; fragments also tell their scope."""
+    head = F.lit(f"Code Clone {kind} ") if scope is None else F.concat(F.lit(f"Code Clone {kind} ("), scope, F.lit(") "))
+    return F.concat(head, F.format_string("[Class #%d, %d members]: ", number, size), members, F.lit("."))
+
+
+def member_text(cls: Column, method: Column, file: Column, start: Column, end: Column) -> Column:
+    return F.format_string("%s.%s() in %s:%d-%d", cls, method, base_name(file), start, end)

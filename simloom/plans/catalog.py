@@ -13,6 +13,7 @@ from simloom.functions.similarity import grams, lcs_similarity_udf
 from simloom.operators import clones, fragments, metrics, report
 from simloom.operators.components import connected_components
 from simloom.plans import fixtures as X
+from simloom.scratch import materialize
 from simloom.sources.readers import document_methods, document_tokens, load, project_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,7 +159,22 @@ def q09_overlap(spark, sf):
     return a.join(b, near).select("a.conv_id", F.col("a.turn").alias("t1"), F.col("b.turn").alias("t2"), fragments.overlap(F.col("a.s"), F.col("a.e") + 1, F.col("b.s"), F.col("b.e")).alias("overlaps"))
 
 
-@query()
+_BUILT_IN = ", ".join(f"'{w}'" for w in T.IGNORED_TYPES)
+
+
+def _unwrap(c: str) -> str:
+    for _ in range(3):
+        c = f"trim(regexp_replace({c}, '^\\((.*)\\)$', '\\1'))"
+    return c
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT id, type, {_unwrap('type')} AS t FROM ({X.TYPES})),
+f AS (SELECT id, type, t, 0 AS i, 0 AS angle, 0 AS paren, '' AS now, []::VARCHAR[] AS parts FROM b
+  UNION ALL SELECT id, type, t, i + 1, angle + CASE WHEN c = '<' THEN 1 WHEN c = '>' AND angle > 0 THEN -1 ELSE 0 END, paren + CASE WHEN c = '(' THEN 1 WHEN c = ')' AND paren > 0 THEN -1 ELSE 0 END,
+    CASE WHEN c = '|' AND angle = 0 AND paren = 0 THEN '' ELSE now || c END, CASE WHEN c = '|' AND angle = 0 AND paren = 0 THEN list_append(parts, now) ELSE parts END
+  FROM (SELECT *, substr(t, i + 1, 1) AS c FROM f WHERE i < length(t))),
+p AS (SELECT id, type, list_filter(list_transform(list_append(parts, now), lambda x: trim(x)), lambda x: x <> '') AS parts FROM f WHERE i = length(t))
+SELECT id, type = '' OR len(list_filter(parts, lambda x: NOT (starts_with({_unwrap('x')}, '%') OR {_unwrap('x')} = 'unknown' OR lower({_unwrap('x')}) IN ({_BUILT_IN})))) = 0 AS ignored, array_to_string(parts, ';') AS parts FROM p""")
 def q10_ignored_types(spark, sf):
     return spark.sql(X.TYPES).select("id", T.is_ignored_type(F.col("type")).alias("ignored"), F.array_join(T.union_parts(F.col("type")), ";").alias("parts"))
 
@@ -170,10 +186,16 @@ def q11_attribution(spark, sf):
     return load(spark, sf, "pages").select(F.regexp_extract(project_of(path, "/root"), "^[^?#]*", 0).alias("project")).join(known, "project").groupBy("project").agg(F.count(F.lit(1)).alias("pages"))
 
 
+def _hashed(spark, sf):
+    """Methods with the digest of their content, normalised once."""
+    m = document_methods(spark, sf).select("seq", "project", "lang", F.size("stmts").alias("n"), F.sha2("content", 256).alias("content"))
+    return materialize(m, "hashed-methods")
+
+
 @query(f"WITH {_EXACT} SELECT a, b, 'Code Clone Type-1: Method ''doc' || a || ''' (lines 1-' || len(p.stmts) || ') is identical to ''' || q.project || '.doc' || b || ''' in ' || q.project || ':1-' || len(q.stmts) || '. (' || len(p.stmts) || ' statements)' AS description FROM ex JOIN m p ON p.seq = a JOIN m q ON q.seq = b")
 def q12_exact_pairs(spark, sf):
-    m = document_methods(spark, sf)
-    side = lambda i: m.select(F.col("seq").alias(i), F.col("project").alias(f"p_{i}"), F.size("stmts").alias(f"n_{i}"))
+    m = _hashed(spark, sf)
+    side = lambda i: m.select(F.col("seq").alias(i), F.col("project").alias(f"p_{i}"), F.col("n").alias(f"n_{i}"))
     name = lambda i: F.concat(F.lit("doc"), F.col(i).cast("string"))
     said = report.method_text("Type-1", name("a"), F.lit(1), F.col("n_a"), F.col("p_b"), name("b"), F.col("p_b"), F.lit(1), F.col("n_b"), F.col("n_a"))
     return clones.exact_pairs(m).join(side("a"), "a").join(side("b"), "b").select("a", "b", said.alias("description"))
@@ -186,12 +208,12 @@ def q13_near_miss_pairs(spark, sf):
 
 @query(f"WITH {_PAIRS} SELECT f1, f2, count(*)::BIGINT AS pairs, min(s1)::BIGINT AS first_start FROM pr GROUP BY f1, f2")
 def q14_window_pairs(spark, sf):
-    return fragments.window_pairs(document_tokens(spark, sf), WINDOW).groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("pairs"), F.min("s1").alias("first_start"))
+    return fragments.window_pair_counts(document_tokens(spark, sf), WINDOW)
 
 
 @query(f"WITH {_WINS}, g AS (SELECT fp, count(*) AS c FROM win GROUP BY fp HAVING count(*) > 1) SELECT c::BIGINT AS copies, count(*)::BIGINT AS fingerprints FROM g GROUP BY c")
 def q15_repeated_windows(spark, sf):
-    return fragments.repeated_fingerprints(fragments.windows(document_tokens(spark, sf), WINDOW)).groupBy("copies").agg(F.count(F.lit(1)).alias("fingerprints"))
+    return fragments.repeated_fingerprints(document_tokens(spark, sf), WINDOW).groupBy("copies").agg(F.count(F.lit(1)).alias("fingerprints"))
 
 
 @query()
@@ -239,7 +261,13 @@ def q22_dominant_provider(spark, sf):
     return metrics.access_metrics(_accesses(spark, sf)).where("dominant <> ''").select(F.col("method").alias("l_orderkey"), "dominant")
 
 
-@query()
+_LINES_OF = "ln AS (SELECT id, i, x FROM (SELECT id, unnest(string_split_regex(text, '\\r?\\n')) AS x, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) - 1 AS i FROM {0}))"
+_CASES_OF = """lb AS (SELECT *, CASE WHEN regexp_matches(x, '\\bcase\\s+[^:]+:') THEN trim(regexp_extract(x, '\\bcase\\s+([^:]+):', 1)) WHEN regexp_matches(x, '\\bdefault\\s*:') THEN 'default' END AS label,
+  max(CASE WHEN NOT regexp_matches(x, '^[\\s}}]*$') THEN i END) OVER (PARTITION BY id) AS last FROM ln),
+cs AS (SELECT id, i, label, greatest(coalesce(lead(i) OVER (PARTITION BY id ORDER BY i), last + 1) - i, 1) AS lines FROM lb WHERE label IS NOT NULL)"""
+
+
+@query(f"WITH {_LINES_OF.format(f'({X.SOURCES})')}, {_CASES_OF.replace('}}', '}')} SELECT id AS block, i::INTEGER AS i, label, lines::BIGINT AS lines FROM cs")
 def q23_case_lengths(spark, sf):
     return metrics.case_lengths(spark.sql(X.SOURCES).select(F.col("id").alias("block"), "text")).select("block", "i", "label", "lines")
 
@@ -248,15 +276,16 @@ _ISSUES = f"WITH {_EXACT}, {_LONG}, iss AS (SELECT p.project, 'clone' AS rule FR
 _PROJECTS = [f"src{i}" for i in range(20)]
 
 
-def _issue_rows(spark, sf):
-    m = document_methods(spark, sf)
-    pairs = clones.exact_pairs(m).join(m.select(F.col("seq").alias("a"), "project"), "a").select("project", F.lit("clone").alias("rule"))
-    return pairs.unionByName(_long(spark, sf).select(F.col("source").alias("project"), F.when(F.col("severity") == 1, "long-ui").otherwise("long").alias("rule")))
+def _issue_counts(spark, sf):
+    """``project, rule, n``: issues are counted, not listed, since exact pairs grow with the square of a group."""
+    pairs = clones.exact_pair_counts(_hashed(spark, sf), "project").select("project", F.lit("clone").alias("rule"), F.col("pairs").alias("n"))
+    long = _long(spark, sf).select(F.col("source").alias("project"), F.when(F.col("severity") == 1, "long-ui").otherwise("long").alias("rule"))
+    return pairs.unionByName(long.groupBy("project", "rule").agg(F.count(F.lit(1)).alias("n")))
 
 
 @query(f"{_ISSUES} SELECT iss.project, count(*) FILTER (WHERE rule = 'clone')::BIGINT AS clones, count(*) FILTER (WHERE rule <> 'clone')::BIGINT AS long_methods, round(any_value(l.loc) / count(*), 6) AS loc_per_issue FROM iss JOIN (SELECT source AS project, sum({_LINES})::BIGINT AS loc FROM documents GROUP BY source) l USING (project) GROUP BY iss.project")
 def q24_smell_columns(spark, sf):
-    wide = report.rule_columns(_issue_rows(spark, sf), {"clone": "clones", "long": "long_methods", "long-ui": "long_methods"})
+    wide = report.rule_columns(_issue_counts(spark, sf), {"clone": "clones", "long": "long_methods", "long-ui": "long_methods"}, F.sum("n"))
     lines = T.code_line_count(F.col("text"), F.lit(0), F.lit(True))
     loc = load(spark, sf, "documents").groupBy(F.col("source").alias("project")).agg(F.sum(lines).alias("loc"))
     return wide.join(loc, "project").select("project", "clones", "long_methods", F.round(F.col("loc") / (F.col("clones") + F.col("long_methods")), 6).alias("loc_per_issue"))
@@ -264,7 +293,7 @@ def q24_smell_columns(spark, sf):
 
 @query(f"{_ISSUES} SELECT rule, {', '.join(f'''count(*) FILTER (WHERE project = '{p}')::BIGINT AS {p}''' for p in _PROJECTS)}, count(*)::BIGINT AS total FROM iss WHERE project IN ({', '.join(f'''{chr(39)}{p}{chr(39)}''' for p in _PROJECTS)}) GROUP BY rule")
 def q25_rule_matrix(spark, sf):
-    return report.rule_matrix(_issue_rows(spark, sf), _PROJECTS)
+    return report.rule_matrix(_issue_counts(spark, sf), _PROJECTS, F.sum("n"))
 
 
 @query("SELECT a.conv_id, a.turn AS t1, b.turn AS t2, CASE WHEN a.role = b.role AND a.turn % 2 = b.turn % 2 AND left(a.text, 1) = left(b.text, 1) THEN 'same method' WHEN a.role = b.role THEN 'same class' ELSE 'different classes' END AS scope FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn")
@@ -311,7 +340,18 @@ def q32_log_lines(spark, sf):
     return metrics.log_lines(spark.sql(X.LOGGED))
 
 
-@query()
+_BLOCKS = """RECURSIVE src AS (SELECT id, text FROM ({0})),
+ln AS (SELECT id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM src),
+dl AS (SELECT id, i, x, len(regexp_extract_all(x, '\\{{')) - len(regexp_extract_all(x, '\\}}')) AS delta, regexp_matches(x, '\\bswitch\\s*\\(') AS sw FROM ln),
+st AS (SELECT id, -1 AS i, -1 AS first, 0 AS depth, -1 AS shut FROM src
+  UNION ALL SELECT st.id, dl.i, CASE WHEN st.first < 0 THEN CASE WHEN sw AND delta >= 0 THEN dl.i ELSE -1 END WHEN st.depth + delta <= 0 THEN -1 ELSE st.first END,
+    CASE WHEN st.first < 0 THEN CASE WHEN sw AND delta >= 0 THEN delta ELSE 0 END WHEN st.depth + delta <= 0 THEN 0 ELSE st.depth + delta END, CASE WHEN st.first >= 0 AND st.depth + delta <= 0 THEN st.first ELSE -1 END
+  FROM st JOIN dl ON dl.id = st.id AND dl.i = st.i + 1),
+sp AS (SELECT id, shut AS first, i AS last FROM st WHERE shut >= 0 UNION ALL SELECT id, first, i FROM st WHERE first >= 0 AND i = (SELECT max(i) FROM ln WHERE ln.id = st.id)),
+bk AS (SELECT sp.id, sp.first, greatest(strpos(any_value(ln.x) FILTER (WHERE ln.i = sp.first), 'switch') - 1, 0) AS col, string_agg(ln.x, chr(10) ORDER BY ln.i) AS text FROM sp JOIN ln ON ln.id = sp.id AND ln.i BETWEEN sp.first AND sp.last GROUP BY sp.id, sp.first)"""
+
+
+@query(f"WITH {_BLOCKS.format(X.SOURCES)} SELECT id, first::INTEGER AS first_line, col::INTEGER AS switch_column, {_CASES.format('text')}::BIGINT AS cases, length(text)::INTEGER AS chars FROM bk")
 def q33_switch_blocks(spark, sf):
     b = spark.sql(X.SOURCES).select("id", F.explode(metrics.switch_blocks(F.split("text", "\n"))).alias("b"))
     return b.select("id", F.col("b.first").alias("first_line"), F.col("b.column").alias("switch_column"), T.case_count(F.col("b.text")).alias("cases"), F.length("b.text").alias("chars"))
@@ -326,7 +366,15 @@ def q34_depth(spark, sf):
     return metrics.clamped_depth(t.select("file", (F.col("p") + 1).cast("long").alias("pos"), "value"))
 
 
-@query()
+_CHAINS = """t AS (SELECT file, pos, value FROM ({0})),
+s AS (SELECT *, sum(CASE value WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER o AS s, lead(value) OVER (PARTITION BY file ORDER BY pos) AS nx, lag(value) OVER (PARTITION BY file ORDER BY pos) AS pv FROM t WINDOW o AS (PARTITION BY file ORDER BY pos)),
+d AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY file ORDER BY pos)) AS depth FROM s),
+c AS (SELECT file, pos, depth, CASE WHEN value = 'else' AND nx = 'if' THEN 'elseIf' WHEN value = 'else' THEN 'else' ELSE 'if' END AS kind FROM d WHERE value = 'else' OR (value = 'if' AND coalesce(pv, '') <> 'else')),
+h AS (SELECT c.*, (SELECT max((o.pos, o.kind, o.depth)) FROM c o WHERE o.file = c.file AND o.pos < c.pos AND o.depth < c.depth) AS near, (SELECT min(o.pos) FROM c o WHERE o.file = c.file AND o.pos > c.pos AND (o.depth < c.depth OR (o.depth = c.depth AND o.kind IN ('else', 'if')))) AS stop FROM c WHERE kind = 'if'),
+ch AS (SELECT file, pos, 1 + (SELECT count(*) FROM c o WHERE o.file = h.file AND o.kind = 'elseIf' AND o.depth = h.depth AND o.pos > h.pos AND (h.stop IS NULL OR o.pos < h.stop)) AS branches FROM h WHERE NOT coalesce(near[2] = 'else' AND near[3] = depth - 1, false))"""
+
+
+@query(f"WITH {_CHAINS.format(X.BRACES)} SELECT file, pos::BIGINT AS pos, branches::BIGINT AS branches FROM ch")
 def q35_if_chains(spark, sf):
     return metrics.if_chains(metrics.conditional_tokens(spark.sql(X.BRACES)))
 
@@ -339,23 +387,20 @@ def q36_offset_line(spark, sf):
 
 @query(f"WITH {_EXACT} SELECT key, min(a)::BIGINT AS a, min(b)::BIGINT AS b FROM (SELECT p.project || ':' || p.lang AS x, q.project || ':' || q.lang AS y, a, b, CASE WHEN p.project || ':' || p.lang <= q.project || ':' || q.lang THEN p.project || ':' || p.lang || '|' || q.project || ':' || q.lang ELSE q.project || ':' || q.lang || '|' || p.project || ':' || p.lang END AS key, row_number() OVER (PARTITION BY least(x, y), greatest(x, y) ORDER BY a, b) AS n FROM ex JOIN m p ON p.seq = a JOIN m q ON q.seq = b) WHERE n = 1 GROUP BY key")
 def q37_pair_keys(spark, sf):
-    m = document_methods(spark, sf).select("seq", F.concat_ws(":", "project", "lang").alias("k"))
-    pairs = clones.exact_pairs(document_methods(spark, sf)).join(m.select(F.col("seq").alias("a"), F.col("k").alias("ka")), "a").join(m.select(F.col("seq").alias("b"), F.col("k").alias("kb")), "b")
-    return clones.first_wins(pairs.withColumn("key", clones.pair_key(F.col("ka"), F.col("kb"))), ["key"], ["a", "b"]).select("key", "a", "b")
+    m = _hashed(spark, sf).withColumn("key", F.concat_ws(":", "project", "lang"))
+    return clones.first_pairs(m, by_content=False).select("key", "a", "b")
 
 
 @query(f"WITH RECURSIVE {_NEAR}, e AS (SELECT a, b FROM near UNION SELECT b, a FROM near UNION SELECT a.seq, b.seq FROM m a JOIN m b ON a.content = b.content AND a.seq <> b.seq), c AS (SELECT a AS v, a AS r FROM e UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.v WHERE c.r < e.b) SELECT v AS vertex, min(r) AS component FROM c GROUP BY v")
 def q38_components(spark, sf):
     m = document_methods(spark, sf)
-    return connected_components(clones.exact_pairs(m).union(clones.near_miss_pairs(m, STMT_SIMILARITY).select("a", "b")))
+    return connected_components(clones.exact_links(m.select("seq", "content")).union(clones.near_miss_pairs(m, STMT_SIMILARITY).select("a", "b")))
 
 
-@query(f"SELECT min(k) AS class_key, count(*)::BIGINT AS size, array_to_string(list(k ORDER BY k), ',') AS members FROM (SELECT {_basic('text')} AS content, conv_id * 1000 + turn AS k FROM conversations) GROUP BY content HAVING count(*) > 1")
+@query(f"SELECT min(doc_id) AS class_key, count(*)::BIGINT AS size, array_to_string(list(doc_id ORDER BY doc_id), ',') AS members FROM (SELECT {_basic('text')} AS content, doc_id FROM documents) GROUP BY content HAVING count(*) > 1")
 def q39_method_classes(spark, sf):
-    m = load(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), T.normalize_basic(F.col("text")).alias("content"))
-    heads = m.groupBy(F.sha2("content", 256).alias("h")).agg(F.min("seq").alias("a"))
-    star = m.select(F.col("seq").alias("b"), F.sha2("content", 256).alias("h")).join(heads, "h").where("a <> b").select("a", "b")
-    return clones.clone_classes(star).select("class_key", "size", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+    m = load(spark, sf, "documents").select(F.col("doc_id").alias("seq"), T.normalize_basic(F.col("text")).alias("content"))
+    return clones.clone_classes(clones.exact_links(m)).select("class_key", "size", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
 _DJB = "list_reduce(list_transform(regexp_extract_all({0}, '(?s).'), lambda c: unicode(c)::BIGINT), lambda h, x: ((h * 31 + x + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, 0::BIGINT)"
@@ -371,12 +416,17 @@ def q41_normalize(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.md5(T.normalize_basic(F.col("text"))).alias("digest"))
 
 
-@query()
+_KEPT = ", ".join(f"'{w}'" for w in T.KEPT)
+_NAMED = f"regexp_matches(w, '^[A-Za-z_]') AND NOT (lower(w) IN ({_KEPT}) OR length(w) <= 1 OR upper(w) = w)"
+
+
+@query(f"""SELECT id, array_to_string(list_transform(ws, lambda w: CASE WHEN {_NAMED} THEN 'ID_' || (len(list_distinct(names[1:list_position(names, w) - 1])) + 1) ELSE w END), '') AS renamed
+FROM (SELECT id, ws, list_filter(ws, lambda w: {_NAMED}) AS names FROM (SELECT id, regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+') AS ws FROM ({X.STATEMENTS})))""")
 def q42_rename(spark, sf):
     return spark.sql(X.STATEMENTS).select("id", T.rename_identifiers(F.col("text")).alias("renamed"))
 
 
-@query()
+@query(rf"""SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b[0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?\b', 'NUM', 'g'), '\b0x[0-9a-fA-F]+\b', 'NUM', 'g'), '"[^"]*"', 'STR', 'g'), chr(39) || '[^' || chr(39) || ']*' || chr(39), 'STR', 'g') AS text FROM ({X.STATEMENTS})""")
 def q43_literals(spark, sf):
     return spark.sql(X.STATEMENTS).select("id", T.normalize_literals(F.col("text")).alias("text"))
 
@@ -386,17 +436,19 @@ def q44_strip(spark, sf):
     return spark.sql(X.STATEMENTS).select("id", T.strip_types(F.col("text")).alias("without_types"), T.strip_decorators(F.col("text")).alias("without_decorators"))
 
 
-_KEPT = ", ".join(f"'{w}'" for w in T.KEPT)
-
-
-@query(f"""SELECT min(p_partkey) AS a, count(*)::BIGINT AS size, content FROM (SELECT p_partkey, CASE WHEN k1 THEN w1 ELSE 'ID_1' END || ' ' || CASE WHEN k2 THEN w2 WHEN k1 THEN 'ID_1' ELSE 'ID_2' END || '|' || p_type AS content
-FROM (SELECT p_partkey, p_type, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2, w1 IN ({_KEPT}) AS k1, w2 IN ({_KEPT}) AS k2 FROM part) WHERE w1 <> w2) GROUP BY content""")
+@query(f"""SELECT min(p_partkey) AS a, count(*)::BIGINT AS size, content FROM (SELECT p_partkey, CASE WHEN k1 THEN w1 ELSE 'ID_1' END || ' ' || CASE WHEN k2 THEN w2 WHEN k1 OR w1 = w2 THEN 'ID_1' ELSE 'ID_2' END || '|' || p_type AS content
+FROM (SELECT p_partkey, p_type, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2, w1 IN ({_KEPT}) AS k1, w2 IN ({_KEPT}) AS k2 FROM part)) GROUP BY content""")
 def q45_type2_groups(spark, sf):
-    p = load(spark, sf, "part").where("split_part(p_name, ' ', 1) <> split_part(p_name, ' ', 2)").select("p_partkey", T.type2_text(F.array("p_name", "p_type")).alias("content"))
+    p = load(spark, sf, "part").select("p_partkey", T.type2_text(F.array("p_name", "p_type")).alias("content"))
     return p.groupBy("content").agg(F.min("p_partkey").alias("a"), F.count(F.lit(1)).alias("size")).select("a", "size", "content")
 
 
-@query()
+_STEP = "lambda acc, e: list_transform(range(1, len(e) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(acc[k], CASE WHEN k > 1 THEN acc[k - 1] ELSE 0 END + e[k]))))"
+
+
+@query(f"""WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark), p AS (SELECT x.item_id, x.w AS a, y.w AS b FROM b x JOIN b y ON y.item_id = x.item_id + 1),
+l AS (SELECT item_id, len(a) AS n, len(b) AS m, list_reduce(list_prepend(list_transform(b, lambda y: 0), list_transform(a, lambda x: list_transform(b, lambda y: (y = x)::INTEGER))), {_STEP}) AS row FROM p WHERE len(a) > 0 AND len(b) > 0)
+SELECT p.item_id, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE 2 * row[-1] / (n + m) END, 6) AS similarity FROM p LEFT JOIN l USING (item_id)""")
 def q46_lcs(spark, sf):
     b = load(spark, sf, "benchmark").select("item_id", T.words(F.col("text")).alias("w"))
     pairs = b.alias("a").join(b.alias("b"), F.col("b.item_id") == F.col("a.item_id") + 1)

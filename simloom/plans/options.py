@@ -61,6 +61,8 @@ class FragmentOptions:
     minimum_tokens: int = opt(100, "minimumTokens", low=1)
     normalize_identifiers: bool = opt(True, "normalizeIdentifiers")
     normalize_literals: bool = opt(False, "normalizeLiterals")
+    ignore_types: bool = opt(False, "ignoreTypes")
+    ignore_decorators: bool = opt(False, "ignoreDecorators")
     ignore_logs: bool = opt(True, "ignoreLogs")
     min_token_types: int = opt(3, "minDistinctTokenTypes", low=0)
     similarity: float = opt(1.0, "similarityThreshold", low=0, high=1)
@@ -71,8 +73,8 @@ class FragmentOptions:
 class LongMethodOptions:
     max_lines: float = opt(math.nan, "maxLines", low=0)
     max_stmts: float = opt(math.nan, "maxStmts", low=0)
-    ui_soft: int = opt(80, "uiSoftLimit", low=0)
-    ui_hard: int = opt(120, "uiHardLimit", low=0)
+    ui_soft: int = opt(80, "maxUIStmtsSoft", "uiSoftLimit", low=0)
+    ui_hard: int = opt(120, "maxUIStmtsHard", "uiHardLimit", low=0)
 
     @property
     def limit(self) -> int:

@@ -1,6 +1,6 @@
 import oracle
 import pytest
-from simloom.plans import catalog
+from simloom.plans import catalog, rule_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -1,5 +1,9 @@
+import math
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import functions as F
 from simloom.operators import metrics, report
+from simloom.operators.order import numbered
 from simloom.plans import fixtures as X
 from simloom.sources import readers
 
@@ -51,12 +55,6 @@ def test_ui_methods_and_scopes(spark):
     assert [r[0] for r in s.collect()] == ["SAME_METHOD", "SAME_CLASS", "SAME_CLASS", "DIFFERENT_CLASS", "DIFFERENT_CLASS"]
 
 
-def test_fresh_aliases(spark):
-    rows = [("m", "t", None, True), ("m", "u", "t", False), ("m", "v", "u", False), ("m", "w", "x", False), ("n", "u", "t", False)]
-    got = metrics.fresh_aliases(spark.createDataFrame(rows, "method string, target string, source string, is_new boolean"))
-    assert sorted(map(tuple, got.collect())) == [("m", "t"), ("m", "u"), ("m", "v")]
-
-
 def test_reports(spark, tmp_path):
     (tmp_path / "r.json").write_text('[{"filePath": "/w/p1/a.ets", "messages": [{"rule": "x"}, {"rule": "y"}]}, {"filePath": "/w/p2/b.ets", "messages": [{"rule": "x"}]}, {"filePath": "/z/q", "messages": []}]')
     df = readers.issue_reports(spark, str(tmp_path / "r.json")).withColumn("project", readers.project_of(F.col("filePath"), "/w"))
@@ -77,10 +75,26 @@ def test_issue_rows(spark):
     assert report.distinct_issues(rows).count() == 2 and rows.first().disabled is True
     said = spark.range(1).select(report.location_text(F.lit("a/b.ets"), F.lit("C"), F.lit("m"), F.lit(1), F.lit(9))).first()[0]
     assert said == "b.ets > C.m():1-9"
-    pct = spark.range(1).select(report.fragment_text("Type-3", F.lit("same class"), F.lit("L"), F.lit("R"), F.lit(5), F.lit(2), F.lit(0.875))).first()[0]
+    pct = spark.range(1).select(report.fragment_text(F.lit("Type-3"), F.lit("same class"), F.lit("L"), F.lit("R"), F.lit(5), F.lit(2), F.lit(0.875))).first()[0]
     assert pct == "Code Clone Type-3 (same class): L is similar to R. (5 tokens, 2 lines, 88% similar)"
 
 
+def test_numbers_and_names_as_text(spark):
+    values = [0.0, 0.125, 1.005, 2.675, 1.115, 0.995, 12.345, 99.995, 0.004999, 1 / 3]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(report.to_fixed(F.col("x")), report.signed_fixed(-F.col("x")), report.js_round(F.col("x") * 100), report.js_round(-F.col("x") - 0.5)).collect()
+    for v, r in zip(values, got):
+        exact = Decimal(v).quantize(Decimal("0.01"), ROUND_HALF_UP)
+        assert r[0] == str(exact) and (r[1] == f"-{exact}" or v == 0) and r[2] == math.floor(v * 100 + 0.5) and r[3] == math.floor(-v - 0.5 + 0.5)
+    assert spark.range(1).select(report.safe_name(F.lit("a b/c-d_e.f"))).first()[0] == "a_b_c-d_e.f"
+    assert report.clone_kind(False, False) == "Type-1" and report.clone_kind(True, False) == "Type-2"
+
+
+def test_numbered_rows_are_dense_and_in_order(spark):
+    got = numbered(spark.range(1000).repartition(7), "n", F.col("id").desc()).collect()
+    assert sorted((r.n, r.id) for r in got) == [(i + 1, 999 - i) for i in range(1000)]
+    assert numbered(spark.range(0), "n", "id").count() == 0
+
+
 def test_source_files(spark, tmp_path):
     (tmp_path / "a.ets").write_text("x\n// c\n\n/* d\n*/ y")
     df = readers.source_files(spark, str(tmp_path / "*.ets"))
