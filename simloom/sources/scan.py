@@ -71,10 +71,14 @@ def leaves(attempts: DataFrame) -> DataFrame:
     return attempts.where(~F.col("split"))
 
 
-def merged_report(spark: SparkSession, paths: list[str], out: str) -> int:
-    """Write the issue reports of many scans as one bag of files; the number of issues."""
+def merged_report(spark: SparkSession, out: str, arrays: list[str] = (), lines: list[str] = ()) -> int:
+    """Write the issue reports of many scans as one bag of files; the number of issues.
+
+    ``arrays`` are report files of one JSON array, ``lines`` reports as ``write_report`` makes them.
+    """
     schema = f"filePath string, messages array<{MESSAGE}>"
-    both = spark.read.schema(schema).json(paths, multiLine=True)
+    parts = [spark.read.schema(schema).json(list(p), multiLine=many) for p, many in ((arrays, True), (lines, False)) if p]
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     both.write.mode("overwrite").json(out)
     return spark.read.schema(schema).json(out).agg(F.coalesce(F.sum(F.size("messages")), F.lit(0)).alias("n")).first().n
 
@@ -83,7 +87,7 @@ MESSAGE = "struct<line:int,column:int,endColumn:int,severity:int,rule:string,mes
 
 
 def write_report(issues: DataFrame, path: str) -> None:
-    """Issues as report files: one object a source file with its messages."""
+    """Issues as report files: one object a source file, on a line of its own, with its messages."""
     message = F.struct("line", F.col("start_col").alias("column"), F.col("end_col").alias("endColumn"), "severity", F.col("rule_id").alias("rule"), F.col("description").alias("message"), report.merge_key().alias("mergeKey"))
     issues.groupBy(F.col("file_path").alias("filePath")).agg(F.array_sort(F.collect_list(message)).alias("messages")).write.mode("overwrite").json(path)
 
