@@ -356,6 +356,8 @@ class PieceTable:
 
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
         """Token ids of each piece, read off its table of last tokens."""
+        if not pieces:
+            return []
         t = texts(pa.array(pieces, pa.binary()))
         last = self.last_tokens(t)
         at, rows, found, live = t.off[1:].copy(), [], [], np.flatnonzero(np.diff(t.off) > 0)

@@ -21,7 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
 #: Longer ranges are hashed one by one, shorter ones eight bytes of all of them at a time.
@@ -145,17 +146,22 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts(buf, off - off[0])
 
 
-def free_name(columns: list[str], wanted: str) -> str:
-    """``wanted``, with underscores added until no column is called so."""
-    taken = {c.lower() for c in columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
+def as_row(df: DataFrame) -> DataFrame:
+    """All columns in one, ``row``, so that no name of theirs meets one of an operator's; its text is a string."""
+    own = {"text": "string"} if "text" in df.columns and dict(df.dtypes)["text"] != "string" else {}
+    columns = [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+    return df.select(F.struct(*[c.cast(own[n]).alias(n) if n in own else c for n, c in zip(df.columns, columns, strict=True)]).alias("row"))
 
 
-def schema_of(df: DataFrame) -> str:
-    """The schema as DDL, for results that keep all columns."""
-    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
+def row_type(rows: DataFrame) -> str:
+    """The type of ``row`` for results that carry it."""
+    fields = rows.schema["row"].dataType.fields
+    return "struct<" + ", ".join(f"`{f.name.replace('`', '``')}`: {f.dataType.simpleString()}" for f in fields) + ">"
+
+
+def row_columns(columns: list[str], **instead: Column) -> list[Column]:
+    """The columns of ``row`` again, some replaced."""
+    return [instead[c].alias(c) if c in instead else F.col("row").getField(c).alias(c) for c in columns]
 
 
 def give_back() -> None:
@@ -166,19 +172,19 @@ def give_back() -> None:
         trim(0)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """Cut batches into runs of rows with about ``limit`` text bytes, each with its byte view."""
+def sliced(batches: Iterator[pa.RecordBatch], text: str | None, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """Cut batches into runs of rows with about ``limit`` bytes of the column ``text`` (None: the text of ``row``), each with its byte view."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        column = batch.column("row").field("text") if text is None else batch.column(text)
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         total = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:
             base = total[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(total, base + limit, side="right")))
-            part = batch.slice(at, to - at)
-            yield part, texts(part.column(text))
+            yield batch.slice(at, to - at), texts(column.slice(at, to - at))
             at = to
     give_back()
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from simloom.llm.bytetext import Texts, mix64, sliced
+from simloom.llm.bytetext import Texts, as_row, mix64, row_columns, row_type, sliced
 from simloom.scratch import materialize
 
 #: A boundary's hash is the smallest this far around: chunks of about 33 bytes.
@@ -104,8 +104,8 @@ def chunk_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
 
     Rows of one doc_id with equal texts get equal results and do not delete
     each other's chunks at the same place. Null texts count as empty; a row
-    without doc_id neither deletes nor loses anything. Other columns are
-    ignored.
+    without doc_id neither deletes nor loses anything; an empty table gives an
+    empty result. Whole texts are cut, however long. Other columns are ignored.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sizes = source.mapInArrow(_sizes, "doc_id long, row_key long, n_bytes long, n_chunks long")
@@ -115,26 +115,33 @@ def chunk_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_chunks", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce(spans, F.lit("")).alias("spans"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, runs in zip(batch.column("text"), batch.column("__runs"), strict=True):
+        for text, runs in zip(batch.column("row").field("text"), batch.column("runs"), strict=True):
             b, cut, at = (text.as_py() or "").encode(), [], 0
             for r in runs.as_py() or []:
                 cut.append(b[at : r["at"]])
                 at = r["at"] + r["size"]
             out.append(b"".join([*cut, b[at:]]).decode("utf-8", "ignore"))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], names=["row", "kept"])
 
 
 def cleaned(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """``docs`` with the repeated runs cut from their texts (a character split by a cut goes)."""
-    keyed = docs.mapInArrow(_keyed, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __key long")
-    runs = removed_runs(docs, min_run).groupBy(F.col("doc_id").alias("__id"), F.col("row_key").alias("__k")).agg(F.array_sort(F.collect_list(F.struct("at", "size"))).alias("__runs"))
-    joined = keyed.join(runs, (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__k")), "left").select(*docs.columns, "__runs")
-    return joined.mapInArrow(partial(_cut, names=docs.columns), docs.schema)
+    """``docs`` with the repeated runs cut from their texts (a character split by a cut goes).
+
+    All columns stay, whatever they are called; a text that loses nothing stays as it is.
+    """
+    rows = as_row(docs)
+    row = row_type(rows)
+    keyed = rows.mapInArrow(_keyed, f"row {row}, key long")
+    runs = removed_runs(docs, min_run).groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_list(F.struct("at", "size"))).alias("runs"))
+    joined = keyed.join(runs, (F.col("row.doc_id").cast("long") == F.col("doc_id")) & (F.col("key") == F.col("row_key")), "left")
+    cut = joined.where("runs is not null").select("row", "runs").mapInArrow(_cut, f"row {row}, kept string")
+    same = joined.where("runs is null").select("row", F.col("row.text").alias("kept"))
+    return cut.unionByName(same).select(*row_columns(docs.columns, text=F.col("kept")))
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, t in sliced(batches, "text"):
-        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_row_keys(t))], names=[*part.schema.names, "__key"])
+    for part, t in sliced(batches, None):
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_row_keys(t))], names=[*part.schema.names, "key"])

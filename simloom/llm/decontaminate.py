@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.bytetext import free_name, schema_of, shingles, sliced, texts
+from simloom.llm.bytetext import as_row, row_columns, row_type, shingles, sliced, texts
 from simloom.scratch import materialize
 
 WIDTH = 5
@@ -155,7 +155,7 @@ def _scan(batches: Iterator[pa.RecordBatch], packed, num: int, den: int) -> Iter
     if getattr(_scan, "_have", (None,))[0] != packed.key:
         _scan._have = packed.key, Index(ids, item_texts)
     index = _scan._have[1]
-    for part, t in sliced(batches, packed.text):
+    for part, t in sliced(batches, None):
         low = t.lowered()
         start, end, row = low.words()
         h = low.hashes(start, end)
@@ -174,19 +174,21 @@ def _scan(batches: Iterator[pa.RecordBatch], packed, num: int, den: int) -> Iter
                 r = int(row[at])
                 hits.setdefault(r, []).extend((at - int(first[r]), width, int(k)) for k in owners[a[m] : b[m]])
         out = [_matches(index, h[first[r] : first[r + 1]], hits[r], num, den) if r in hits else [] for r in range(t.rows)]
-        keep = packed.keep
-        yield pa.RecordBatch.from_arrays([part.column(n) for n in keep] + [pa.array(out, pa.list_(pa.int64()))], names=[*keep, packed.found])
+        cols = {"doc_id": part.column("row").field("doc_id")} if packed.ids_only else {"row": part.column("row")}
+        if "before" in part.schema.names:
+            cols["before"] = part.column("before")
+        yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(out, pa.list_(pa.int64()))], names=[*cols, "items"])
 
 
 class _Packed:
-    """A broadcast of the items, with the columns of the documents that stay.
+    """A broadcast of the items.
 
     Workers keep the last index by ``key``, a digest of the items: they outlive
     tasks, and an address or a broadcast's number can come again with other items.
     """
 
-    def __init__(self, broadcast, keep: tuple[str, ...], text: str, found: str) -> None:
-        self.broadcast, self.keep, self.text, self.found = broadcast, keep, text, found
+    def __init__(self, broadcast, ids_only: bool = False) -> None:
+        self.broadcast, self.ids_only = broadcast, ids_only
         self.key = sha256(repr(broadcast.value).encode()).hexdigest()
 
     @property
@@ -194,8 +196,8 @@ class _Packed:
         return self.broadcast.value
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, num: int, den: int, keep: list[str]) -> tuple[DataFrame, str]:
-    """The columns ``keep`` of ``docs`` with the list of the items found in each row, and that column's name.
+def _passes(docs: DataFrame, benchmark: DataFrame, num: int, den: int, ids_only: bool) -> DataFrame:
+    """``row`` (or only ``doc_id``) of every row of ``docs`` with ``items``, the list of the items found in it.
 
     Each pass takes a bounded part of the benchmark to the workers; between
     two passes the rows are written, so one part is held at a time.
@@ -203,23 +205,20 @@ def _passes(docs: DataFrame, benchmark: DataFrame, num: int, den: int, keep: lis
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     passes = max(1, -(-size.n // ITEMS_A_PASS), -(-size.b // BYTES_A_PASS))
-    sc, names = docs.sparkSession.sparkContext, docs.columns
-    found, before = free_name(names, "items"), free_name(names, "items_before")
-    text = "text" if dict(docs.dtypes)["text"] == "string" else free_name(names, "text_")
-    out = docs.select(*dict.fromkeys([*keep, text])) if text == "text" else docs.select(*keep, F.col("text").cast("string").alias(text))
+    sc, out = docs.sparkSession.sparkContext, as_row(docs)
+    row = row_type(out)
     for p in range(passes):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).collect()
-        out = out.withColumnRenamed(found, before) if p else out
+        out = out.withColumnRenamed("items", "before") if p else out
         last = p == passes - 1
-        kept = out.select(*keep, *([before] if p else []), *([text] if not last and text not in keep else []))
         shared = sc.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
-        now = _Packed(shared, tuple(kept.columns), text, found)
-        out = out.mapInArrow(partial(_scan, packed=now, num=num, den=den), f"{schema_of(kept)}, {found} array<bigint>")
-        out = out.withColumn(found, F.array_union(before, found)).drop(before) if p else out
+        kept = "doc_id long" if ids_only and last else f"row {row}"
+        out = out.mapInArrow(partial(_scan, packed=_Packed(shared, ids_only and last), num=num, den=den), kept + (", before array<bigint>" if p else "") + ", items array<bigint>")
+        out = out.withColumn("items", F.array_union("before", "items")).drop("before") if p else out
         if not last:
             out = materialize(out, "decontaminate-pass")
             shared.destroy()
-    return out, found
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
@@ -235,12 +234,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int
     they are called included.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out, found = _passes(source, benchmark, num, den, ["doc_id"])
-    items = F.array_sort(F.array_distinct(found))
+    out = _passes(source, benchmark, num, den, ids_only=True)
+    items = F.array_sort(F.array_distinct("items"))
     return out.select("doc_id", (F.size(items) > 0).alias("contaminated"), F.size(items).cast("long").alias("n_items"), F.array_join(items.cast("array<string>"), ",").alias("item_ids"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs``, all columns as they are, in which no item is found; the same cases as ``contamination``."""
-    out, found = _passes(docs, benchmark, num, den, docs.columns)
-    return out.where(F.size(found) == 0).select(*docs.columns)
+    return _passes(docs, benchmark, num, den, ids_only=False).where(F.size("items") == 0).select(*row_columns(docs.columns))

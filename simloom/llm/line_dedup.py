@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from simloom.llm.bytetext import as_row, row_columns
 from simloom.scratch import materialize, release
 
 MIN_LINES = 2
@@ -127,7 +128,7 @@ def _with_deletions(docs: DataFrame, min_lines: int, long_lines: bool) -> DataFr
     """``row`` (all columns of ``docs``), the lines to delete, the runs they form, and the text that is kept."""
     gone = deleted_lines(docs, min_lines, long_lines).withColumnRenamed("doc_id", "id")
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
-    joined = docs.select(F.struct(*docs.columns).alias("row")).join(gone, (F.col("row.doc_id").cast("long") == F.col("id")) & (_key(text) == F.col("key")), "left")
+    joined = as_row(docs).join(gone, (F.col("row.doc_id").cast("long") == F.col("id")) & (_key(text) == F.col("key")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("lines", i)), "\n")
     return joined.select("row", "lines", "runs", F.when(F.col("lines").isNull(), text).otherwise(kept).alias("kept"))
 
@@ -159,7 +160,7 @@ def cleaned(docs: DataFrame, min_lines: int = MIN_LINES, long_lines: bool = Fals
     out = _with_deletions(docs, min_lines, long_lines)
     emptied = F.col("lines").isNotNull() & ~F.col("kept").rlike(_WORD)
     text = F.when(F.col("lines").isNull(), F.col("row.text").cast("string")).otherwise(F.col("kept"))
-    return out.where(~emptied).select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+    return out.where(~emptied).select(*row_columns(docs.columns, text=text))
 
 
 ORACLE = r"""

@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.bytetext import Texts, shingles, sliced
+from simloom.llm.bytetext import Texts, as_row, row_columns, row_type, shingles, sliced
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals", "n_digits", "n_bullet_lines")
 #: Rule name -> failure test on the measurements; the position is the rule's bit.
 RULES: dict[str, str] = {
     "few_words": "n_words < 50",
@@ -28,6 +28,9 @@ RULES: dict[str, str] = {
     "repeated_lines": "n_lines >= 4 and 10 * n_dup_lines > 4 * n_lines",
     "capitals": "10 * n_capitals > 4 * n_letters",
     "long_words": "word_chars > 15 * n_words",
+    "short_words": "n_words > 0 and word_chars < 2 * n_words",
+    "digits": "n_digits > n_letters",
+    "bullets": "n_lines >= 4 and 10 * n_bullet_lines > 9 * n_lines",
 }
 BASE = ("few_words", "repeated_windows")
 
@@ -48,11 +51,13 @@ class Policy:
 
 POLICIES = {
     "base": Policy("base", 1, BASE),
-    "default": Policy("default", 1, tuple(RULES)),
+    "default": Policy("default", 1, ("few_words", "repeated_windows", "symbols", "repeated_lines", "capitals", "long_words")),
+    "strict": Policy("strict", 1, tuple(RULES)),
 }
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
+_BULLETS = np.array([ord(c) for c in "-*+>"], dtype=np.uint8)
 
 
 def _measure(t: Texts) -> dict[str, np.ndarray]:
@@ -65,6 +70,7 @@ def _measure(t: Texts) -> dict[str, np.ndarray]:
     l_start, l_end, l_row = t.lines()
     before = np.searchsorted(start, l_start), np.searchsorted(start, l_end)
     full = before[1] > before[0]
+    bullets = t.per_row(l_row[full][np.isin(t.buf[start[before[0][full]]], _BULLETS)])
     l_row, l_hash = l_row[full], t.hashes(l_start[full], l_end[full])
     order = np.lexsort((l_hash, l_row))
     same = (l_row[order][1:] == l_row[order][:-1]) & (l_hash[order][1:] == l_hash[order][:-1])
@@ -93,27 +99,34 @@ def _measure(t: Texts) -> dict[str, np.ndarray]:
         "n_lines": t.per_row(l_row),
         "n_letters": count_rows(np.flatnonzero(letter)),
         "n_capitals": count_rows(np.flatnonzero(capital)),
+        "n_digits": count_rows(np.flatnonzero((t.buf >= 48) & (t.buf <= 57))),
+        "n_bullet_lines": bullets,
     }
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, t in sliced(batches, "text"):
+    for part, t in sliced(batches, None):
         found = _measure(t)
-        keep = [(n, part.column(n)) for n in part.schema.names]
-        new = [(n, pa.array(found[n])) for n in MEASURES]
-        yield pa.RecordBatch.from_arrays([c for _, c in keep + new], names=[n for n, _ in keep + new])
+        yield pa.RecordBatch.from_arrays([part.column("row")] + [pa.array(found[m]) for m in MEASURES], names=["row", *MEASURES])
+
+
+def _with_ledger(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns of ``docs``), the measurements and ``failed_rules``: one pass, no shuffle or join."""
+    rows = as_row(docs)
+    measured = rows.mapInArrow(_measured, f"row {row_type(rows)}, " + ", ".join(f"{m} long" for m in MEASURES))
+    bits = [F.when(F.expr(test), F.lit(1 << i)).otherwise(F.lit(0)) for i, test in enumerate(RULES.values())]
+    return measured.withColumn("failed_rules", reduce(Column.bitwiseOR, bits).cast("int"))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
     """``doc_id``, the measurements, and ``failed_rules`` with one bit a rule.
 
     One row per input row, whatever its doc_id (null included); a null text
-    counts as empty and fails ``few_words``. Other columns are ignored.
+    counts as empty and fails ``few_words``; whole texts are measured, however
+    long; an empty table gives an empty ledger. Other columns are ignored.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, text string, " + ", ".join(f"{m} long" for m in MEASURES)
-    bits = [F.when(F.expr(test), F.lit(1 << i)).otherwise(F.lit(0)) for i, test in enumerate(RULES.values())]
-    return source.mapInArrow(_measured, schema).select("doc_id", *MEASURES, reduce(Column.bitwiseOR, bits).cast("int").alias("failed_rules"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _with_ledger(source).select("row.doc_id", *MEASURES, "failed_rules")
 
 
 def passes(policy: Policy) -> Column:
@@ -139,21 +152,8 @@ def judged(docs: DataFrame, policy: Policy = POLICIES["default"]) -> DataFrame:
 
 
 def accepted(docs: DataFrame, policy: Policy = POLICIES["default"]) -> DataFrame:
-    """The rows of ``docs``, all their columns, that pass the policy: one pass, no shuffle or join."""
-    tests = [F.expr(RULES[r]) for r in policy.rules]
-    names = [f"__{m}" for m in MEASURES]
-    rows = docs.withColumn("__text", F.col("text").cast("string"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, t in sliced(batches, "__text"):
-            found = _measure(t)
-            keep = [n for n in part.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([part.column(n) for n in keep] + [pa.array(found[m]) for m in MEASURES], names=keep + names)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = rows.mapInArrow(run, f"{fields}, " + ", ".join(f"{n} long" for n in names))
-    measured = out.select(F.struct(*docs.columns).alias("row"), *[F.col(n).alias(m) for n, m in zip(names, MEASURES, strict=True)])
-    return measured.where(~reduce(Column.__or__, tests)).select("row.*")
+    """The rows of ``docs``, all their columns whatever they are called, whose ledger row passes the policy."""
+    return _with_ledger(docs).where(passes(policy)).select(*row_columns(docs.columns))
 
 
 ORACLE = r"""

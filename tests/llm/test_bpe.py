@@ -68,6 +68,7 @@ def test_pieces_together_equal_one_by_one(tools, monkeypatch):
     table = bpe.table_of(encoder)
     want = [[encoder.ranks[x] for x in encoder.merged(d)] for d in data]
     assert bpe.PieceTable(encoder.ranks, table).encode(data) == want
+    assert bpe.PieceTable(encoder.ranks, table).encode([]) == []
     monkeypatch.setattr(bpe, "REMEMBERED", 50)
     memory = bpe._Pieces(encoder, table)
     for low in range(0, len(pieces), 70):

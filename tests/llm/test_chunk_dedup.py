@@ -64,5 +64,12 @@ def test_against_model(spark):
     assert len(kept[503]) < 64 and kept[502] and cd.cleaned(df).count() == len(rows)
 
 
+def test_columns_of_any_name_stay(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(1, long, 1, 2, 3), (2, long, 1, 2, 3), (None, None, 1, 2, 3)], SCHEMA + ", key int, runs int, row int")
+    got = sorted(map(tuple, cd.cleaned(df).collect()), key=repr)
+    assert got[0] == (1, long, 1, 2, 3) and got[1][0] == 2 and len(got[1][1]) < 64 and got[2] == (None, None, 1, 2, 3)
+
+
 def test_empty(spark):
     assert cd.chunk_dedup(spark.createDataFrame([], SCHEMA)).count() == 0

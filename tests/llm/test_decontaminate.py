@@ -78,8 +78,8 @@ def test_empty_tables(spark):
 def test_a_worker_never_takes_another_item_set():
     """Tasks unpickle their items to addresses that were in use before, as in a worker that lives on."""
     words = ["one two three four five six", "seven eight nine ten eleven twelve"]
-    blobs = [pickle.dumps(dc._Packed(SimpleNamespace(value=([i], [w])), (), "text", "items")) for i, w in enumerate(words)]
-    batch = pa.RecordBatch.from_pydict({"doc_id": [0, 1], "text": words})
+    blobs = [pickle.dumps(dc._Packed(SimpleNamespace(value=([i], [w])), True)) for i, w in enumerate(words)]
+    batch = pa.RecordBatch.from_pydict({"row": [{"doc_id": i, "text": w} for i, w in enumerate(words)]})
     for step in range(40):
         packed = pickle.loads(blobs[step % 2])
         got = [x for b in dc._scan(iter([batch]), packed, 80, 100) for x in b.column("items").to_pylist()]

@@ -39,3 +39,22 @@ def test_stages_against_models(spark):
 def test_run(spark):
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES][0] == "quality_rules"
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_odd_rows_pass_every_stage(spark, tmp_path):
+    words = lambda n, k=0: " ".join(f"word{i + k}" for i in range(n))
+    rows = [(1, None, 0), (2, "", 0), (3, words(80), 1), (3, words(80), 1), (4, words(80), 2), (None, words(80, 500), 3), (None, words(80, 500), 4), (5, words(60_000, 9000), 5), (6, "  \n\t ", 6)]
+    schema = "doc_id long, text string, n_chars long, `a.b` int, row int, items int, kept boolean, key string, runs int"
+    df = spark.createDataFrame([(d, t, 0, n, n, n, True, "k", n) for d, t, n in rows], schema)
+    spark.createDataFrame([(1, words(90, 500))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, left = df, []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        left.append(sorted(map(str, (r.doc_id for r in docs.select("doc_id").collect()))))
+        if name != "bpe":
+            assert docs.columns == df.columns, name
+    assert left[0] == ["3", "3", "4", "5", "None", "None"] and left[1] == ["3", "3", "5", "None", "None"]  # 4 is one long line that 3 has
+    assert left[2] == left[1] and left[3] == left[4] == ["3", "3", "5"]  # 80 of the 90 words of the item
+    empty = df.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0

@@ -34,12 +34,26 @@ def test_measures_and_ledger(spark):
 def test_ablations(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     led = quality.ledger(df)
-    policy = quality.POLICIES["default"]
+    policy = quality.POLICIES["strict"]
     got = {r.rule: (r.failing, r.only_this) for r in quality.ablations(led, policy).collect()}
     bits, order = [r.failed_rules for r in led.collect()], list(quality.RULES)
     assert got == {r: (sum(b >> i & 1 for b in bits), sum(b == 1 << i for b in bits)) for i, r in enumerate(order)}
 
 
+def test_policies_are_masks_of_one_ledger(spark):
+    texts = ["- a\n- b\n* c\n+ d", "1 2 3 4 5 x", "a b c", " ".join(f"w{i}x" for i in range(60)), "\n".join(f"- word{i} and more of it" for i in range(12)), "7 " * 3 + "12345678 " * 60]
+    led = quality.ledger(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    order, by = list(quality.RULES), {r.doc_id: r for r in led}
+    failed = lambda i: {order[b] for b in range(len(order)) if by[i].failed_rules >> b & 1}
+    assert failed(0) == {"few_words", "bullets", "short_words", "symbols"} and failed(1) >= {"digits"} and failed(3) == set() and failed(4) == {"bullets", "repeated_windows"}
+    assert [p.mask for p in (quality.POLICIES["base"], quality.POLICIES["default"], quality.POLICIES["strict"])] == [3, 63, 511]
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "x y " + " ".join(f"w{i}" for i in range(60)), 1, 2, 3, 4)], "doc_id long, text string, row int, failed_rules int, n_words int, `a.b` int")
+    assert [tuple(r) for r in quality.accepted(df).collect()] == [tuple(r) for r in df.collect()]
+
+
 def test_against_sql(spark):
     from simloom.llm import queries
 
