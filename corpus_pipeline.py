@@ -2,7 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
 written as Parquet and read back as the next stage's ``docs``. All but the
-last return the columns of ``documents``.
+last return the columns of ``documents``, further columns of any name included.
+Null and empty texts have no words and go with the quality rules, as do rows
+whose text fails them; a row without doc_id is never a copy of another and
+removes no lines; rows repeated with one doc_id and text are treated alike, so
+they stay or go together; empty tables give empty results. Texts are read
+whole, however long.
 """
 
 from __future__ import annotations
@@ -12,13 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simloom.llm import bpe, decontaminate, line_dedup, minhash, quality
+from simloom.llm.bytetext import as_row, row_columns
 from simloom.scratch import materialize
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the default policy rejects go."""
+    """Documents whose ledger row fails the default policy go."""
     return quality.accepted(docs)
 
 
@@ -30,8 +36,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of smallest doc_id, of each near-duplicate group stays."""
-    kept = minhash.near_duplicates(docs, width=5, num=80, den=100).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__id"], "left_semi").unionByName(docs.where("doc_id is null"))
+    kept = minhash.near_duplicates(docs, width=5, num=80, den=100).where("kept and doc_id is not null").select("doc_id").distinct()
+    rows = as_row(docs)
+    found = rows.join(kept, F.col("row.doc_id").cast("long") == F.col("doc_id"), "left_semi")
+    return found.union(rows.where("row.doc_id is null")).select(*row_columns(docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
