@@ -116,7 +116,18 @@ def deep_shallow(buf: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> t
         differs |= tail != tail[head][group]
     mixed = np.unique(group[differs])
     ends = np.append(head[1:], len(deep))
-    for g in mixed:
+    # A trie of two strings is one branch: all of those are compared at once, by the first number that differs.
+    two = mixed[ends[mixed] - head[mixed] == 2]
+    turn, open_ = np.zeros(len(two), dtype=bool), np.ones(len(two), dtype=bool)
+    for tail in tails:
+        a, b = tail[head[two]], tail[head[two] + 1]
+        turn |= open_ & (a > b)
+        open_ &= a == b
+    at = deep[head[two]]
+    same[at + 1] = False
+    at = at[turn]
+    order[at], order[at + 1] = order[at + 1], order[at]
+    for g in np.setdiff1d(mixed, two, assume_unique=True):
         a, b = head[g], ends[g]
         block = order[deep[a:b]]
         text = [buf[starts[i] : starts[i] + length].tobytes() for i in block]
@@ -153,7 +164,7 @@ class Runs:
         np.add.at(whole, t.off[:-1][long], 1)
         np.add.at(whole, t.off[1:][long] - LENGTH + 1, -1)
         at = np.flatnonzero(np.cumsum(whole)[: len(low)] > 0)
-        name, row = mix64(low[at] + np.uint64(0x5DEECE66D)), t.row_of(at)  # smallest hashes crowd near zero; names are dealt by size
+        name, row = mix64(low[at] + np.uint64(0x5DEECE66D)), np.repeat(np.arange(t.rows), size)[at]  # smallest hashes crowd near zero; names are dealt by size
         new = np.ones(len(at), dtype=bool)
         new[1:] = (name[1:] != name[:-1]) | (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
         head = np.flatnonzero(new)
