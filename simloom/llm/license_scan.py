@@ -1,14 +1,18 @@
 """License detection by ordered signature rules, in DataFrame expressions only.
 
-A text becomes lower-case words. Words such as ``license`` or ``spdx`` are
-anchors; the words around an anchor form its context, and a marker stands
-before the anchor itself. Every rule has a keyword (a form is a rule for each of
-its keywords, which cover all its alternatives), a regular expression over
-the context that contains the marker, a label, a priority and its place in the
-order. The keyword prefilter is an equi-join between the context's words and
-the rule table, so a regular expression runs only where its keyword stands.
-Detections are word intervals; one that lies inside an interval of a rule of
-the same or a better priority is suppressed.
+A text becomes lower-case words. Words such as ``license``, ``spdx``, ``gpl``,
+``permission`` or ``redistribution`` are anchors; the words around an anchor
+form its context, and a marker stands before the anchor itself. Two kinds of
+rules look at contexts: names in a form (``licensed under the N``, ``N license
+version 2``, SPDX lines), made for every family, and hand-written signatures of
+license bodies, file headers and notices, which need no license word. Every
+rule has a keyword (a form is a rule for each of its keywords, which cover all
+its alternatives), a regular expression over the context that contains the
+marker, a label, a priority and its place in the order. The keyword prefilter
+is an equi-join between the context's words and the rule table, so a regular
+expression runs only where its keyword stands. Detections are word intervals;
+one that lies inside an interval of a rule of the same or a better priority is
+suppressed.
 """
 
 from __future__ import annotations
@@ -22,9 +26,13 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before lower-casing.
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-ANCHORS = ("license", "licence", "licensed", "licenced", "licenses", "licences", "licensing", "spdx", "copyleft")
-GATE = r"(?i)licen[sc]|spdx|copyleft"
-BEFORE, AFTER = 14, 14
+ANCHORS = (
+    "license", "licence", "licensed", "licenced", "licenses", "licences", "licensing", "spdx", "copyleft", "permission", "redistribution", "redistributions", "redistribute",
+    "advertising", "endorse", "compliance", "gpl", "gplv1", "gplv2", "gplv3", "lgpl", "lgplv2", "lgplv3", "agpl", "agplv3", "mpl", "wtfpl", "warranty", "warranties",
+    "domain", "unencumbered", "waived", "reserved", "copyrighted",
+)
+GATE = r"(?i)licen[sc]|spdx|copyleft|permission|redistribut|advertising|endorse|compliance|gpl|mpl|wtfpl|warrant|domain|unencumbered|waived|reserved|copyrighted"
+BEFORE, AFTER = 16, 22
 MARK = "@"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Base phrases: the words before ``license`` and the label.
@@ -101,6 +109,62 @@ FAMILIES = (
     ("zlib", "zlib", r"zlib(?: libpng)?", r"zlib"),
     ("zpl", "zope", r"zope public", r"zpl (?:1|2) \d"),
 )
+# Label, priority, keyword and signature of license bodies, file headers and notices.
+NOTICES = (
+    ("mit", 1, "hereby", r"@permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", 2, "substantial", r"above copyright notice and this @permission notice shall be included in all copies or substantial portions"),
+    ("bsl", 1, "organization", r"@permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("isc", 1, "fee", r"@permission to use copy modify and(?: or)? distribute this software(?: and its documentation)? for any purpose with or without fee"),
+    ("hpnd", 1, "fee", r"@permission to use copy modify(?: and)? distribute(?: and sell)? this software and its documentation for any purpose(?: is hereby granted)? without fee"),
+    ("ofl", 1, "font", r"@permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("unicode", 1, "data", r"@permission is hereby granted free of charge to any person obtaining a copy of(?: the)? (?:unicode )?data files"),
+    ("bsd", 1, "binary", r"@redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", 2, "retain", r"@redistributions of source code must retain the(?: above)? copyright notice"),
+    ("bsd", 2, "reproduce", r"@redistributions in binary form must reproduce the(?: above)? copyright notice"),
+    ("bsd-3", 1, "endorse", r"(?:names? of (?:its|the|any) (?:\w+ ){0,4})?may (?:not )?be used to @endorse or promote products derived"),
+    ("bsd-4", 1, "advertising", r"all @advertising materials mentioning features or use of this software must display"),
+    ("apache", 1, "compliance", r"you may not use this file except in @compliance with the license"),
+    ("apache", 2, "agreed", r"unless required by applicable law or agreed to in writing software distributed under the @license is distributed"),
+    ("gpl", 1, "redistribute", r"(?:is free software )?you can @redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", 1, "lesser", r"you can @redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("lgpl", 1, "library", r"you can @redistribute it and or modify it under the terms of the gnu library general public license"),
+    ("agpl", 1, "affero", r"you can @redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("gpl", 2, "hope", r"distributed in the hope that it will be useful but without any @warranty"),
+    ("gpl", 1, "gpl", r"(?:released|distributed|available|published|provided|covered|is) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?@gpl(?: v?(?:ersion )?[123](?: 0)?)?(?: only| or later)?"),
+    ("gpl", 1, "gplv1", r"under (?:the )?(?:terms of )?(?:the )?(?:gnu )?@gplv1(?: only| or later)?"),
+    ("gpl", 1, "gplv2", r"under (?:the )?(?:terms of )?(?:the )?(?:gnu )?@gplv2(?: only| or later)?"),
+    ("gpl", 1, "gplv3", r"under (?:the )?(?:terms of )?(?:the )?(?:gnu )?@gplv3(?: only| or later)?"),
+    ("gpl", 2, "gpl", r"version [123](?: 0)? (?:or later )?of the (?:gnu )?@gpl"),
+    ("gpl", 3, "gnu", r"gnu @gpl(?: v?(?:ersion )?[123])?"),
+    ("gpl", 3, "gplv2", r"@gplv2(?: only| or later)?"),
+    ("gpl", 3, "gplv3", r"@gplv3(?: only| or later)?"),
+    ("lgpl", 1, "lgpl", r"under (?:the )?(?:terms of )?(?:the )?(?:gnu )?@lgpl(?: v?(?:ersion )?[23](?: [01])?)?(?: only| or later)?"),
+    ("lgpl", 3, "lgplv2", r"@lgplv2(?: [01])?(?: only| or later)?"),
+    ("lgpl", 3, "lgplv3", r"@lgplv3(?: only| or later)?"),
+    ("agpl", 1, "agpl", r"under (?:the )?(?:terms of )?(?:the )?(?:gnu )?@agpl(?: v?(?:ersion )?3(?: 0)?)?(?: only| or later)?"),
+    ("agpl", 3, "agplv3", r"@agplv3(?: only| or later)?"),
+    ("mpl", 1, "mpl", r"under (?:the )?(?:terms of )?(?:the )?@mpl(?: v?[12](?: \d)?)?"),
+    ("mpl", 1, "incompatible", r"incompatible with secondary @licenses"),
+    ("zlib", 1, "express", r"provided as is without any express or implied @warranty in no event will the authors be held liable"),
+    ("zlib", 2, "restrictions", r"alter it and @redistribute it freely subject to the following restrictions"),
+    ("wtfpl", 1, "wtfpl", r"under (?:the )?(?:terms of )?(?:the )?@wtfpl"),
+    ("unlicense", 1, "unencumbered", r"this is free and @unencumbered software released into the public domain"),
+    ("public-domain", 1, "public", r"(?:released|dedicated|placed|put|committed)(?: \w+){0,4} (?:in|into|to) the public @domain"),
+    ("public-domain", 2, "public", r"(?:is|are) (?:hereby )?(?:in )?(?:the )?public @domain"),
+    ("cc0", 1, "extent", r"to the extent possible under law(?: \w+){0,8} @waived all copyright"),
+    ("cc0", 2, "neighboring", r"@waived all copyright and related or neighboring rights"),
+    ("openssl", 1, "whatsoever", r"@redistributions of any form whatsoever must retain the following acknowledg\w+"),
+    ("php", 2, "php", r"@redistribution(?:s)? (?:\w+ ){1,12}php"),
+    ("copyleft", 3, "copyleft", r"(?:strong |weak |partial )?@copyleft"),
+    ("copyrighted", 3, "rights", r"all rights @reserved"),
+    ("copyrighted", 3, "copyrighted", r"(?:is|are) @copyrighted (?:by|material|\d{4})"),
+    ("no-warranty", 3, "conditions", r"without @warranties or conditions of any kind"),
+    ("no-warranty", 3, "without", r"without @warranty of any kind"),
+    ("no-warranty", 3, "without", r"without any @warranty"),
+    ("no-warranty", 3, "implied", r"express or implied @warranties"),
+    ("no-warranty", 3, "implied", r"implied @warranties of merchantability"),
+    ("no-warranty", 3, "absolutely", r"absolutely no @warranty"),
+)
 #: Priority and pattern of each form a license is named in; N is the name, S the SPDX short name.
 FORMS = (
     (1, r"@spdx license identifier (?:S)"),
@@ -112,7 +176,7 @@ FORMS = (
 
 @cache
 def rules() -> tuple[tuple[int, int, str, str, str], ...]:
-    """(order, priority, label, keyword, pattern): every form of every family, families in the given order.
+    """(order, priority, label, keyword, pattern): every form of every family in the given order, then the signatures.
 
     A form is one rule for each keyword; where several stand, the second detection lies inside the first.
     """
@@ -124,6 +188,8 @@ def rules() -> tuple[tuple[int, int, str, str, str], ...]:
             # A context word may carry the marker (the anchor); names hold no anchor words.
             for word in ["identifier"] if spdx else keywords.split(" "):
                 out.append((len(out), priority, label.removesuffix("-short"), word, f"(?:^| ){body}(?= |$)"))
+    for label, priority, word, body in NOTICES:
+        out.append((len(out), priority, label, word, f"(?:^| ){body}(?= |$)"))
     return tuple(out)
 
 

@@ -82,3 +82,33 @@ def test_every_alternative_is_found(spark):
     df = spark.createDataFrame([(i, t) for i, _, t in cases], "doc_id long, text string")
     got = {r.doc_id: r.labels.split(",") for r in license_scan.scan(df).collect()}
     assert [(t, label, got[i]) for i, label, t in cases if label not in got[i]] == []
+
+
+def test_every_signature_is_found(spark):
+    cases = []
+    for label, _, word, body in license_scan.NOTICES:
+        texts = [t.replace("@", "") for t in spelled(body) if re.fullmatch(body, t)]
+        assert texts and "@" in body and all(word in t.split(" ") for t in texts), (word, body)
+        cases += [(label, f"some words {t} and more") for t in texts]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.scan(df).collect()}
+    assert len(cases) > 150 and [(t, label, got[i]) for i, (label, t) in enumerate(cases) if label not in got[i]] == []
+
+
+def test_license_bodies(spark):
+    rows = [
+        ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
+        ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that"),
+        ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+        ("bsd,bsd-3", "Redistributions of source code must retain the above copyright notice. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"),
+        ("apache", "you may not use this file except in compliance with the License."),
+        ("gpl", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3"),
+        ("lgpl", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
+        ("gpl", "either version 3 of the GPL"), ("gpl", "released under GPL v3"), ("public-domain", "The author has placed this file in the public domain."),
+        ("unlicense", "This is free and unencumbered software released into the public domain."), ("no-warranty", "It comes with absolutely no warranty."), ("copyrighted", "(c) 2020. All rights reserved."), ("", "with your permission we begin"),
+    ]
+    df = spark.createDataFrame(list(enumerate(t for _, t in rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    for i, (labels, t) in enumerate(rows):
+        assert set(filter(None, labels.split(","))) <= set(got[i].labels.split(",")), (t, got[i].labels)
+        assert (got[i].score > 0) == bool(labels) and (labels or got[i].labels == "")
