@@ -1,7 +1,9 @@
 import random
 
 import brute
+import numpy as np
 import pytest
+from simloom.llm import minhash
 from simloom.llm.minhash import near_duplicates
 
 SCHEMA = "doc_id long, text string"
@@ -40,3 +42,33 @@ def test_empty_table_and_extra_columns(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(1, "a b c", "x", 2)], "doc_id long, text string, component_id string, n long")
     assert [tuple(r) for r in near_duplicates(df, 3, 85, 100).collect()] == [(1, 1, 1, True)]
+
+
+def test_large_similar_sets_share_many_runs():
+    """The bound behind three common lists: of 4000 pairs at just the asked similarity none comes near it."""
+    rng = np.random.default_rng(4)
+    runs = lambda s: {tuple(s[i : i + 3]) for i in range(len(s) - 2)}
+    found = []
+    for _ in range(4000):
+        n = int(rng.integers(80, 3000))
+        side = n * 75 // 1000
+        values = rng.integers(-(2**62), 2**62, n - n * 85 // 100 - 2 * side + n * 85 // 100 + 2 * side)
+        shared, a, b = values[: n - 2 * side], values[n - 2 * side : n - side], values[n - side :]
+        sketch = lambda own: np.sort(np.concatenate([shared, own]))[: minhash.SKETCH].tolist()  # noqa: B023, E731
+        found.append(len(runs(sketch(a)) & runs(sketch(b))))
+    assert min(found) >= 10 and 35 < np.mean(found) < 45
+
+
+def test_open_clusters_are_compared_by_size(spark, monkeypatch):
+    """Sets that no star joins still find each other, over blocks and neighbouring sizes."""
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(120):
+        w = base[: rnd.choice([200, 230, 260, 300, 345, 400])] if i % 2 else base[rnd.choice([0, 20, 40, 60]) :]
+        for _ in range(rnd.randrange(0, 12)):
+            w = [*w]
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    assert run(spark, rows, width=3, num=85, den=100) == brute.near_duplicates(rows, 3, 85, 100)
