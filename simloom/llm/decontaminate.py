@@ -242,3 +242,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int
 def clean(docs: DataFrame, benchmark: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs``, all columns as they are, in which no item is found; the same cases as ``contamination``."""
     return _passes(docs, benchmark, num, den, ids_only=False).where(F.size("items") == 0).select(*row_columns(docs.columns))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The same in DuckDB: every window that shares a shingle with an item of its size, by weighted shingle counts.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT item_id, w, len(w) AS n, least({WIDTH}, len(w)) AS k FROM (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+bg AS (SELECT item_id, n, k, g, count(*) AS c FROM (SELECT item_id, n, k, array_to_string(w[i:i+k-1], ' ') AS g FROM (SELECT *, unnest(range(1, n - k + 2)) AS i FROM b)) GROUP BY ALL),
+dg AS (SELECT doc_id, len, k, i, array_to_string(w[i:i+k-1], ' ') AS g FROM (SELECT doc_id, w, len(w) AS len, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM b) WHERE len(w) >= k)),
+h AS (SELECT doc_id, len, item_id, n, k, i, least(n, len) - k + 1 AS span FROM dg JOIN bg USING (k, g)),
+s AS (SELECT DISTINCT doc_id, item_id, n, k, span, unnest(range(greatest(1, i - span + 1)::BIGINT, least(i, len - least(n, len) + 1)::BIGINT + 1)) AS s FROM h),
+m AS (SELECT s.doc_id, s.item_id, s.s, s.n, s.k, s.span, h.g, count(*) AS c FROM s JOIN (SELECT DISTINCT h.doc_id, h.item_id, h.i, dg.g FROM h JOIN dg USING (doc_id, k, i)) h ON h.doc_id = s.doc_id AND h.item_id = s.item_id AND h.i BETWEEN s.s AND s.s + s.span - 1 GROUP BY ALL),
+j AS (SELECT m.doc_id, m.item_id, m.s, m.n, m.k, m.span, sum(least(m.c, bg.c)) AS least FROM m JOIN bg ON bg.item_id = m.item_id AND bg.g = m.g GROUP BY ALL),
+f AS (SELECT doc_id, item_id FROM j WHERE 100 * least >= 80 * (span + n - k + 1 - least) GROUP BY ALL)
+SELECT d.doc_id, count(item_id) > 0 AS contaminated, count(item_id)::BIGINT AS n_items, coalesce(string_agg(item_id::VARCHAR, ',' ORDER BY item_id), '') AS item_ids FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id
+"""

@@ -76,4 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": license_scan.oracle_sql(), "op4_quality_rules": quality.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
+    return {
+        "op1_minhash_near_dedup": minhash.oracle_sql(), "op3_license_scan": license_scan.oracle_sql(), "op4_quality_rules": quality.ORACLE,
+        "op6_line_dedup": line_dedup.ORACLE, "op9_suffix_dedup": suffix_dedup.ORACLE, "op10_decontamination": decontaminate.ORACLE,
+    }

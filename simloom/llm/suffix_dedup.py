@@ -373,3 +373,20 @@ def suffix_dedup(docs: DataFrame, with_texts: bool = False) -> DataFrame:
     both = with_names.join(per_slice2.hint("shuffle_hash"), F.col("slice") == F.col("s2"), "left").select("slice", "ids", "sizes", "data", "names", "contexts")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_texts else "")
     return both.mapInArrow(partial(_apply, ranges=ranges, texts_too=with_texts), schema)
+
+
+#: The same in DuckDB: texts as hexadecimal digits, every 50-byte string with the smallest doc_id that has it.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, i, md5(substr(h, (2 * i + 1)::BIGINT, {2 * LENGTH})) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS i FROM d WHERE length(h) >= {2 * LENGTH})),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS lo FROM g) WHERE lo < doc_id),
+n AS (SELECT doc_id, i, CASE WHEN coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -{LENGTH + 1}) + {LENGTH} < i THEN 1 ELSE 0 END AS new FROM r),
+p AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM n),
+sp AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM p GROUP BY doc_id, span),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM sp),
+t AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last FROM sp GROUP BY doc_id),
+c AS (SELECT k.doc_id, string_agg(substr(h, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY a) AS head FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
+"""

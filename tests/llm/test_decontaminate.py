@@ -111,3 +111,10 @@ def test_index_finds_all_within_the_radius_and_what_is_similar():
     some = dc.np.array([rnd.getrandbits(64) for _ in range(500)], dtype=dc.np.uint64)
     looked_at = sum(int((cut[v + 1] - cut[v]).sum()) for b, (cut, _) in enumerate(index.lists) for v in [dc._block(some, b)])
     assert looked_at < 0.25 * 500 * 300  # an unrelated print meets few items
+
+
+def test_against_sql(spark):
+    import oracle
+    from simloom.llm import decontaminate, queries
+
+    oracle.compare(spark, oracle.connect("/root/testdata/sf0.001"), queries.op10_decontamination, decontaminate.ORACLE, "/root/testdata/sf0.001")

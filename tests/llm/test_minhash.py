@@ -72,3 +72,10 @@ def test_open_clusters_are_compared_by_size(spark, monkeypatch):
             w[rnd.randrange(len(w))] = f"x{rnd.randrange(40)}"
         rows.append((i, " ".join(w)))
     assert run(spark, rows, width=3, num=85, den=100) == brute.near_duplicates(rows, 3, 85, 100)
+
+
+def test_against_sql(spark):
+    import oracle
+    from simloom.llm import minhash, queries
+
+    oracle.compare(spark, oracle.connect("/root/testdata/sf0.001"), queries.op1_minhash_near_dedup, minhash.oracle_sql(), "/root/testdata/sf0.001")

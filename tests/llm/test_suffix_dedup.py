@@ -71,3 +71,10 @@ def test_empty(spark):
     assert sd.suffix_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
     out = sd.suffix_dedup(spark.createDataFrame([(2, "y" * 60), (1, "y" * 60)], SCHEMA), with_texts=True).collect()
     assert {(r.doc_id, r.kept_text) for r in out} == {(1, "y" * 60), (2, "")}
+
+
+def test_against_sql(spark):
+    import oracle
+    from simloom.llm import suffix_dedup, queries
+
+    oracle.compare(spark, oracle.connect("/root/testdata/sf0.001"), queries.op9_suffix_dedup, suffix_dedup.ORACLE, "/root/testdata/sf0.001")
