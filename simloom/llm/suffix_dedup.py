@@ -85,6 +85,29 @@ class BlindTrie:
         return out
 
 
+def _order(keys: list[np.ndarray]) -> np.ndarray:
+    """Places in order of the keys, the first one leading; equal ones in any order.
+
+    The first key is sorted by itself; only its groups that differ in a later
+    key are sorted by all of them, and most groups are of equal strings.
+    """
+    order = np.argsort(keys[0])
+    first = keys[0][order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = first[1:] != first[:-1]
+    group = np.cumsum(new) - 1
+    head = order[new][group]
+    differs = np.zeros(len(order), dtype=bool)
+    for k in keys[1:]:
+        differs |= k[order] != k[head]
+    mixed = np.zeros(len(order), dtype=bool)  # by group
+    mixed[group[differs]] = True
+    at = np.flatnonzero(mixed[group])
+    some = order[at]
+    order[at] = some[np.lexsort([*(k[some] for k in keys[:0:-1]), group[at]])]
+    return order
+
+
 def deep_shallow(buf: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings buf[s:s+length] and, along it, a flag where a string equals the one before."""
     n = len(starts)
@@ -96,7 +119,7 @@ def deep_shallow(buf: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> t
     eight = np.lib.stride_tricks.sliding_window_view(buf, 8)
     word = lambda k, some: np.ascontiguousarray(eight[some + at[k]]).view(">u8").reshape(-1).astype(np.uint64)
     keys = [word(k, starts) for k in range(min(SHALLOW, len(at)))]
-    order = np.lexsort(keys[::-1])
+    order = _order(keys)
     same = np.ones(n, dtype=bool)
     same[0] = False
     for k in keys:
@@ -164,11 +187,12 @@ class Runs:
         np.add.at(whole, t.off[:-1][long], 1)
         np.add.at(whole, t.off[1:][long] - LENGTH + 1, -1)
         at = np.flatnonzero(np.cumsum(whole)[: len(low)] > 0)
-        name, row = mix64(low[at] + np.uint64(0x5DEECE66D)), np.repeat(np.arange(t.rows), size)[at]  # smallest hashes crowd near zero; names are dealt by size
+        least, row = low[at], np.repeat(np.arange(t.rows), size)[at]
         new = np.ones(len(at), dtype=bool)
-        new[1:] = (name[1:] != name[:-1]) | (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
+        new[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
         head = np.flatnonzero(new)
-        self.start, self.name, self.row = at[head], name[head], row[head]
+        # Smallest hashes crowd near zero, and names are dealt by size.
+        self.start, self.name, self.row = at[head], mix64(least[head] + np.uint64(0x5DEECE66D)), row[head]
         self.end = np.append(at[head[1:] - 1], at[-1:]) + 1 if len(at) else self.start  # past the last string's start
 
 
@@ -238,7 +262,7 @@ def _answer_names(frame: pd.DataFrame) -> pd.DataFrame:
 
 def _kinds(name: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One place of each distinct (name, digest), in order of the name, and each place's number among them."""
-    order = np.lexsort((digest[:, 1], digest[:, 0], name))
+    order = _order([name, digest[:, 0], digest[:, 1]])
     new = np.ones(len(order), dtype=bool)
     for k in (name, digest[:, 0], digest[:, 1]):
         k = k[order]
@@ -330,9 +354,9 @@ def _apply(batches: Iterator[pa.RecordBatch], ranges: int, texts_too: bool) -> I
         where = np.repeat(first[:-1][context], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         at = np.repeat(runs.start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         later = flat[where] < ids[np.repeat(runs.row, size)]
-        cover = np.zeros(len(t.buf) + 1, dtype=np.int32)
-        np.add.at(cover, at[later], 1)
-        np.add.at(cover, at[later] + LENGTH, -1)
+        cover = np.zeros(len(t.buf) + 1, dtype=np.int64)
+        cover += np.bincount(at[later], minlength=len(cover))
+        cover -= np.bincount(at[later] + LENGTH, minlength=len(cover))
         gone = np.cumsum(cover)[:-1] > 0
         start, _, span_row = t.spans(gone)
         spans, removed = t.per_row(span_row), np.add.reduceat(np.append(gone, False).astype(np.int64), t.off[:-1]) if t.rows else np.zeros(0, int)
