@@ -214,12 +214,13 @@ def near_blocks(tokens: DataFrame, size: int, threshold: float, q: int = 3) -> D
     place = F.row_number().over(Window.partitionBy("block").orderBy("df", "g"))
     heads = ranked.withColumn("place", place).where((F.col("place") <= prefix) & (F.col("df") > 1)).select("block", "g")
     cand = heads.alias("a").join(heads.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.block") < F.col("b.block"))).select(F.col("a.block").alias("b1"), F.col("b.block").alias("b2")).distinct()
-    side = lambda i: blocks.select(F.col("block").alias(f"b{i}"), F.col("file").alias(f"f{i}"), F.col("start").alias(f"s{i}"), F.col("w").alias(f"w{i}"), F.col("gr").alias(f"g{i}"))
+    # Elements are distinct within a block, so shared ones add up to the smaller counts.
+    elements = materialize(sets.groupBy("block").agg(F.collect_list("g").alias("els")), "block-elements")
+    rows = blocks.select("block", "file", "start", "w").join(elements, "block")
+    side = lambda i: rows.select(*[F.col(c).alias(f"{n}{i}") for c, n in (("block", "b"), ("file", "f"), ("start", "s"), ("w", "w"), ("els", "g"))])
     pairs = cand.join(side(1), "b1").join(side(2), "b2")
     apart = (F.col("f1") != F.col("f2")) | (F.abs(F.col("s1") - F.col("s2")) >= size)
-    kinds = F.array_union("g1", "g2")
-    occurrences = lambda g, x: F.size(F.filter(g, lambda y: y == x))
-    smin = F.aggregate(kinds, F.lit(0), lambda acc, x: acc + F.least(occurrences(F.col("g1"), x), occurrences(F.col("g2"), x)))
+    smin = F.size(F.array_intersect("g1", "g2"))
     passed = pairs.where(apart & (F.col("w1") != F.col("w2"))).withColumn("smin", smin).where(F.col("smin") >= bound * (2 * n - F.col("smin")))
     scored = materialize(passed.select("f1", "s1", "f2", "s2", lcs_similarity_udf("w1", "w2").alias("similarity")), "near-blocks")
     return scored.where((F.col("similarity") >= threshold) & (F.col("similarity") < 1))

@@ -119,3 +119,59 @@ def test_components(spark):
 def test_windows_reject_bad_size(spark):
     with pytest.raises(ValueError):
         fragments.windows(tokens(spark, {1: ["a"]}), 0)
+
+
+def test_rolling_hash_slides():
+    """Every window's hash is that of the window by itself, whatever its size."""
+    ids = fragments.np.array([5, 12, 7, 99, 3, 42, 7, 99, 3, 10**12], dtype="int64")
+    for size in (1, 2, 3, 5, 7, 8, 10, 11):
+        for base, mod in fragments.ROLLING:
+            want = []
+            for i in range(len(ids) - size + 1):
+                h = 0
+                for x in ids[i : i + size].tolist():
+                    h = (h * base + x) % mod
+                want.append(h)
+            assert fragments.rolling_hashes(ids, size, base, mod).tolist() == want
+    with pytest.raises(ValueError):
+        fragments.rolling_hashes(ids, 0, 131, 7)
+
+
+def test_window_names_and_counts(spark):
+    rnd = random.Random(6)
+    files = {f: [rnd.choice("ab") for _ in range(rnd.randrange(0, 30))] for f in range(6)}
+    df, w = tokens(spark, files), 4
+    named = {}
+    for r in fragments.hashed_windows(df, w).collect():
+        text = tuple(files[r.file][r.start : r.start + w])
+        assert len(text) == w and named.setdefault((r.h, r.h2), text) == text
+    assert len(set(named.values())) == len(named)
+    counts = {}
+    for f1, s1, f2, _ in pairs_model(files, w):
+        n, lo = counts.get((f1, f2), (0, s1))
+        counts[f1, f2] = n + 1, min(lo, s1)
+    assert {(r.f1, r.f2): (r.pairs, r.first_start) for r in fragments.window_pair_counts(df, w).collect()} == counts
+    with pytest.raises(ValueError):
+        fragments.hashed_windows(df, 0)
+
+
+def test_first_pairs_links_and_counts(spark):
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice("uvwx"), rnd.choice(["c1", "c2", "c3", f"own{i}"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "seq long, key string, content string")
+    bucket = {}
+    for s, _, c in rows:
+        bucket.setdefault(c, s)
+    pairs = sorted((bucket[c1], s1, s2, "|".join(sorted((k1, k2)))) for i, (s1, k1, c1) in enumerate(rows) for s2, k2, c2 in rows[i + 1 :] if c1 == c2)
+    first, alone = {}, {}
+    for b, s1, s2, k in pairs:
+        first.setdefault(k, (b, s1, s2))
+        alone[k] = min(alone.get(k, (s1, s2)), (s1, s2))
+    assert {r.key: (r.bucket, r.a, r.b) for r in clones.first_pairs(df).collect()} == first
+    assert {r.key: (r.a, r.b) for r in clones.first_pairs(df, by_content=False).collect()} == alone
+    by = {}
+    for _, s1, _, _ in pairs:
+        by[rows[s1][1]] = by.get(rows[s1][1], 0) + 1
+    assert {r.key: r.pairs for r in clones.exact_pair_counts(df, "key").collect()} == by
+    labels = {r.vertex: r.component for r in connected_components(clones.exact_links(df)).collect()}
+    assert labels == {s: bucket[c] for s, _, c in rows if sum(c == x[2] for x in rows) > 1}
