@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 # White space of the language's \s, identifier syntax.
 SPACE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: A border between a word character and another, in ASCII.
+BORDER = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 IDENTIFIER = r"(?<![A-Za-z0-9_])[A-Za-z_][A-Za-z0-9_]*(?![A-Za-z0-9_])"
 # Keywords of the language, built-in names kept when identifiers are renamed.
 KEYWORDS = (
@@ -45,7 +47,7 @@ def normalize_basic(c: Column) -> Column:
 
 def normalize_literals(c: Column) -> Column:
     steps = (
-        (r"(?<![A-Za-z0-9_])[0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?(?![A-Za-z0-9_])", "NUM"), (r"(?<![A-Za-z0-9_])0x[0-9a-fA-F]+(?![A-Za-z0-9_])", "NUM"),
+        (rf"(?<![A-Za-z0-9_])[0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?{BORDER}", "NUM"), (r"(?<![A-Za-z0-9_])0x[0-9a-fA-F]+(?![A-Za-z0-9_])", "NUM"),
         ('"[^"]*"', "STR"), ("'[^']*'", "STR"),
     )
     return reduce(lambda x, s: F.regexp_replace(x, *s), steps, c)

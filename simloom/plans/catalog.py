@@ -65,9 +65,18 @@ near AS (SELECT sh.a, sh.b, m / (x.n + y.n - m) AS similarity FROM sh JOIN tot x
 _EXACT = f"{_METHODS}, ex AS (SELECT a.seq AS a, b.seq AS b FROM m a JOIN m b ON a.content = b.content AND a.seq < b.seq)"
 
 
-@query(rf"SELECT id, coalesce(regexp_matches(text, '(?is)^\s*(console|hilog|logger)\.\w+\s*\(.*\)\s*$'), false) AS is_log FROM ({X.STATEMENTS})")
+_TEXTS = f"(SELECT id::BIGINT AS id, text FROM ({X.STATEMENTS}) UNION ALL SELECT doc_id + 1000, text FROM documents)"
+
+
+def _texts(spark, sf):
+    """The statement literals and all whole documents."""
+    own = spark.sql(X.STATEMENTS).select(F.col("id").cast("long").alias("id"), "text")
+    return own.unionByName(load(spark, sf, "documents").select((F.col("doc_id") + 1000).alias("id"), "text"))
+
+
+@query(rf"SELECT id, coalesce(regexp_matches(text, '(?is)^\s*(console|hilog|logger)\.\w+\s*\(.*\)\s*$'), false) AS is_log FROM {_TEXTS}")
 def q01_log_filter(spark, sf):
-    return spark.sql(X.STATEMENTS).select("id", F.coalesce(T.is_log(F.col("text")), F.lit(False)).alias("is_log"))
+    return _texts(spark, sf).select("id", F.coalesce(T.is_log(F.col("text")), F.lit(False)).alias("is_log"))
 
 
 @query(rf"WITH {_METHODS} SELECT seq AS doc_id, len(list_distinct(list_filter(string_split_regex(content, '[\x09-\x0D\x20]+|\|'), lambda x: x <> '')))::BIGINT AS parts FROM m WHERE len(list_distinct(list_filter(string_split_regex(content, '[\x09-\x0D\x20]+|\|'), lambda x: x <> ''))) >= {MIN_PARTS}")
@@ -426,14 +435,14 @@ def q42_rename(spark, sf):
     return spark.sql(X.STATEMENTS).select("id", T.rename_identifiers(F.col("text")).alias("renamed"))
 
 
-@query(rf"""SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b[0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?\b', 'NUM', 'g'), '\b0x[0-9a-fA-F]+\b', 'NUM', 'g'), '"[^"]*"', 'STR', 'g'), chr(39) || '[^' || chr(39) || ']*' || chr(39), 'STR', 'g') AS text FROM ({X.STATEMENTS})""")
+@query(rf"""SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b[0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?\b', 'NUM', 'g'), '\b0x[0-9a-fA-F]+\b', 'NUM', 'g'), '"[^"]*"', 'STR', 'g'), chr(39) || '[^' || chr(39) || ']*' || chr(39), 'STR', 'g') AS text FROM {_TEXTS}""")
 def q43_literals(spark, sf):
-    return spark.sql(X.STATEMENTS).select("id", T.normalize_literals(F.col("text")).alias("text"))
+    return _texts(spark, sf).select("id", T.normalize_literals(F.col("text")).alias("text"))
 
 
-@query(rf"SELECT id, regexp_replace(regexp_replace(text, ':\s*[A-Za-z_]\w*(\s*<[^>]*>)?(\s*\[\])*', '', 'g'), '\bas\b\s+[A-Za-z_]\w*', '', 'g') AS without_types, regexp_replace(text, '@[A-Za-z_]\w*(\s*\([^)]*\))?', '', 'g') AS without_decorators FROM ({X.STATEMENTS})")
+@query(rf"SELECT id, regexp_replace(regexp_replace(text, ':\s*[A-Za-z_]\w*(\s*<[^>]*>)?(\s*\[\])*', '', 'g'), '\bas\b\s+[A-Za-z_]\w*', '', 'g') AS without_types, regexp_replace(text, '@[A-Za-z_]\w*(\s*\([^)]*\))?', '', 'g') AS without_decorators FROM {_TEXTS}")
 def q44_strip(spark, sf):
-    return spark.sql(X.STATEMENTS).select("id", T.strip_types(F.col("text")).alias("without_types"), T.strip_decorators(F.col("text")).alias("without_decorators"))
+    return _texts(spark, sf).select("id", T.strip_types(F.col("text")).alias("without_types"), T.strip_decorators(F.col("text")).alias("without_decorators"))
 
 
 @query(f"""SELECT min(p_partkey) AS a, count(*)::BIGINT AS size, content FROM (SELECT p_partkey, CASE WHEN k1 THEN w1 ELSE 'ID_1' END || ' ' || CASE WHEN k2 THEN w2 WHEN k1 OR w1 = w2 THEN 'ID_1' ELSE 'ID_2' END || '|' || p_type AS content
@@ -458,6 +467,7 @@ def q46_lcs(spark, sf):
 @query()
 def q47_tokenize(spark, sf):
     both = spark.sql(X.SOURCES).select(F.col("id").cast("long").alias("file"), F.col("text").alias("content"))
+    both = both.unionByName(load(spark, sf, "pages").select((F.col("page_id") + 1000).alias("file"), F.col("html").alias("content")))
     return lexer.with_tokens(both).select("file", F.posexplode("tokens").alias("pos", "t")).select("file", "pos", "t.value", "t.type", "t.line", "t.column")
 
 

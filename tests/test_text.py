@@ -23,6 +23,7 @@ def one(spark, f, value):
         (T.rename_identifiers, "i = MAX + été9 + console.x1", "i = MAX + été9 + console.ID_1"),
         (T.normalize_literals, 'config.set("timeout", 3000)', "config.set(STR, NUM)"),
         (T.normalize_literals, "1.5e-3 0x1A2B a9", "NUM NUM a9"),
+        (T.normalize_literals, "12. a 3.x", "NUM. a NUMx"),
         (T.strip_types, "let a: Map<string, number>[] = b as Foo", "let a = b "),
         (T.strip_decorators, "@Component(a) struct X @State y", " struct X  y"),
         (T.is_log, 'Logger.debug("debug")', True),
