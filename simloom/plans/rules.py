@@ -274,6 +274,7 @@ def for_each_rule(t: Tables, o: O.ForEachOptions, rule: Rule) -> DataFrame:
     return report.distinct_issues(rows)
 
 
+# Names of the rules and of their documents, as issue rows carry them.
 RULES: dict[str, Rule] = {
     r.rule_id: r
     for r in (
