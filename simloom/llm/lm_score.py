@@ -238,6 +238,16 @@ def _triples(batches: Iterator[pa.RecordBatch], top: np.ndarray, top_counts: np.
         yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(n)], names=["triple", "n"])
 
 
+def _by_row(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the values that go to each of ``size`` rows."""
+    order = np.argsort(rows, kind="stable")
+    placed = rows[order]
+    first = np.flatnonzero(np.r_[True, placed[1:] != placed[:-1]])
+    out = np.zeros((size, *values.shape[1:]), dtype=np.float32)
+    out[placed[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
 class LogBilinear:
     """Scores s(w | a, b) = (P[a] A + R[b] B) . Q[w] + bias[w] for a leading topic a and a class b before."""
 
@@ -266,12 +276,10 @@ class LogBilinear:
         pos = (r * p["Q"][w]).sum(axis=1) + p["bias"][w] - base[w]
         neg = r @ p["Q"][drawn].T + p["bias"][drawn] - base[drawn]
         g_pos, g_neg = -1 / (1 + np.exp(np.clip(pos, -30, 30))) / n, 1 / (1 + np.exp(-np.clip(neg, -30, 30))) / n
-        one = lambda idx, size=CLASSES: np.equal.outer(np.arange(size), idx).astype(np.float32)
-        dr = g_pos[:, None] * p["Q"][w] + g_neg @ p["Q"][drawn]
-        hot_w, hot_n = one(w), one(drawn)
+        dr = (g_pos[:, None] * p["Q"][w] + g_neg @ p["Q"][drawn]).astype(np.float32)
         grads = {
-            "Q": hot_w @ (g_pos[:, None] * r) + hot_n @ (g_neg.T @ r), "bias": hot_w @ g_pos + hot_n @ g_neg.sum(axis=0),
-            "A": p["P"][a].T @ dr, "B": p["R"][b].T @ dr, "P": one(a, LEADS) @ (dr @ p["A"].T), "R": one(b) @ (dr @ p["B"].T),
+            "Q": _by_row(w, g_pos[:, None] * r, CLASSES) + _by_row(drawn, g_neg.T @ r, CLASSES), "bias": _by_row(w, g_pos, CLASSES) + _by_row(drawn, g_neg.sum(axis=0), CLASSES),
+            "A": p["P"][a].T @ dr, "B": p["R"][b].T @ dr, "P": _by_row(a, dr @ p["A"].T, LEADS), "R": _by_row(b, dr @ p["B"].T, CLASSES),
         }
         for k, g in grads.items():
             self.squares[k] += g * g
