@@ -15,28 +15,16 @@ from pyspark.sql import functions as F
 from simloom.scratch import materialize, release
 
 
-#: Neighbours from which a vertex counts as a hub, and the number of hubs that a broadcast may hold.
-HUB_DEGREE, HUBS = 1_000, 1_000_000
-
-
-def _hub_pairs(edges: DataFrame, n: int) -> DataFrame:
-    """Each vertex of an edge with the smallest vertex of its neighbourhood; ``n`` is the number of edges.
-
-    Rows of a hub stay where they are: at most 2 n / degree vertices have that
-    many neighbours, so the hubs' smallest neighbours are broadcast, at most
-    ``HUBS`` of them whatever the size of the table.
-    """
+def _hub_pairs(edges: DataFrame) -> DataFrame:
+    """Each vertex of an edge with the smallest vertex of its neighbourhood."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    hubs = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("hub"), F.count(F.lit(1)).alias("degree"))
-    degree = max(HUB_DEGREE, 2 * n // HUBS)
-    large = F.broadcast(hubs.where(F.col("degree") > degree).select("a", "hub"))
-    small = both.join(large.select("a"), "a", "left_anti").join(hubs.where(F.col("degree") <= degree).select("a", "hub"), "a")
-    return small.unionByName(both.join(large, "a"))
+    hubs = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("hub"))
+    return both.join(hubs, "a")
 
 
-def _large_star(edges: DataFrame, n: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     return (
-        _hub_pairs(edges, n)
+        _hub_pairs(edges)
         .where(F.col("b") > F.col("a"))
         .select(F.col("hub").alias("a"), "b")
         .where(F.col("a") != F.col("b"))
@@ -71,19 +59,18 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         .distinct()
     )
     e = materialize(e, "cc-edges")
-    edge_count = e.count()
-    if not edge_count:
+    if e.isEmpty():
         return e.select(F.col("a").alias("vertex"), F.col("a").alias("component"))
     state = None
     for _ in range(max_rounds):
-        nxt = materialize(_small_star(_large_star(e, edge_count)), "cc-round")
+        nxt = materialize(_small_star(_large_star(e)), "cc-round")
         row = nxt.agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31))).alias("s"),
             F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31))).alias("t"),
         ).first()
         release(e)  # rounds are written whole, so none reads the one before
-        e, edge_count, before, state = nxt, row.n, state, (row.n, row.s, row.t)
+        e, before, state = nxt, state, (row.n, row.s, row.t)
         if before == state or row.n == 0:
             break
     else:

@@ -1,5 +1,3 @@
-import random
-
 import pytest
 from simloom.operators.components import connected_components
 from simloom.scratch import materialize, release, scratch_dir
@@ -46,23 +44,3 @@ def test_released_tables_are_gone(spark):
 def test_rounds_of_components_are_released(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     assert {r.component for r in connected_components(edges).collect()} == {0}
-
-
-def test_hubs_are_joined_in_place(spark, monkeypatch):
-    from simloom.operators import components
-
-    monkeypatch.setattr(components, "HUB_DEGREE", 5)
-    rnd = random.Random(2)
-    rows = [(h, h * 100 + i) for h in (7, 3, 9) for i in range(1, 40)] + [(rnd.randrange(2000, 2100), rnd.randrange(2000, 2100)) for _ in range(60)] + [(340, 905), (5000, 5001)]
-    parent = {}
-
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for a, b in rows:
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    got = {r.vertex: r.component for r in connected_components(spark.createDataFrame(rows, "a long, b long")).collect()}
-    assert got == {v: find(v) for v in {x for a, b in rows if a != b for x in (a, b)}}
