@@ -44,8 +44,11 @@ def js_round(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
-def to_fixed(x: Column, digits: int = 2) -> Column:
-    """Fixed digits; halves go away from zero by the exact binary value, not by its shortest decimal text (1.005 is 1.00)."""
+def to_fixed(x: Column, digits: int = 2, even: bool = False) -> Column:
+    """Fixed digits; halves go away from zero by the exact binary value, not by its shortest decimal text (1.005 is 1.00).
+
+    With ``even``, exact halves go to the even digit, as C's printf writes them (0.125 is 0.12).
+    """
     x, scale = F.abs(x), float(10**digits)
     n = F.floor(x * scale + 0.5)
     # x * 2 * scale = p + e exactly, so the sign of r tells whether n - 0.5 <= x * scale.
@@ -53,7 +56,8 @@ def to_fixed(x: Column, digits: int = 2) -> Column:
     high = big - (big - x)
     p = x * (2 * scale)
     r = (p - (n * 2 - 1)) + ((high * (2 * scale) - p) + (x - high) * (2 * scale))
-    n = F.when(r < 0, n - 1).when(r >= 2, n + 1).otherwise(n).cast("long")
+    low = (r < 0) | ((r == 0) & (n % 2 == 1)) if even else r < 0
+    n = F.when(low, n - 1).when(r >= 2, n + 1).otherwise(n).cast("long")
     whole = F.concat(F.floor(n / F.lit(10**digits)).cast("string"), F.lit("."), F.lpad(F.pmod(n, F.lit(10**digits)).cast("string"), digits, "0"))
     return whole
 
@@ -132,8 +136,8 @@ def chain_text(branches: Column, name: Column) -> Column:
     return F.format_string("Long if-else chain with %d branches detected in method '%s'. Consider using polymorphism or strategy.", branches, name)
 
 
-def envy_text(name: Column, provider: Column, atfd: Column, lda: Column, cpfd: Column) -> Column:
-    return F.format_string("Method '%s' is feature-envious toward '%s' (ATFD=%d, LDA=%s, CPFD=%d). Consider moving logic or introducing delegation.", name, provider, atfd, to_fixed(lda), cpfd)
+def envy_text(name: Column, provider: Column, atfd: Column, lda: Column, cpfd: Column, even: bool = False) -> Column:
+    return F.format_string("Method '%s' is feature-envious toward '%s' (ATFD=%d, LDA=%s, CPFD=%d). Consider moving logic or introducing delegation.", name, provider, atfd, to_fixed(lda, even=even), cpfd)
 
 
 def class_text(kind: str, number: Column, size: Column, members: Column, scope: Column | None = None) -> Column:

@@ -253,15 +253,15 @@ def long_method_rule(t: Tables, o: O.LongMethodOptions, rule: Rule) -> DataFrame
     return _issues(over, rule, F.col("start_line"), F.col("start_col"), F.col("start_col") + F.length("method_name"), text, F.col("file"), F.col("method_name"), F.col("severity"))
 
 
-def envy_rule(t: Tables, o: O.EnvyOptions, rule: Rule) -> DataFrame:
-    """Needs ``uses``; a method whose front end resolves nothing uses no other class."""
+def envy_rule(t: Tables, o: O.EnvyOptions, rule: Rule, even: bool = False) -> DataFrame:
+    """Needs ``uses``; a method whose front end resolves nothing uses no other class. ``even``: see ``report.to_fixed``."""
     ui = metrics.is_ui_method(F.col("class_kind"), F.col("method_name"), F.col("decorators"), F.col("has_view_tree"), F.col("class_decorators"))
     name = F.col("method_name")
     m = t.methods.where(~name.startswith("%") & (name != "constructor") & ~ui & F.col("has_body"))
     uses = t.uses.join(m.select(F.col("seq").alias("method")), "method", "left_semi")
     found = envy.envious_methods(uses, m.select(F.col("seq").alias("method"), F.col("class_name").alias("self_class")), t.fields, o.atfd, o.lda, o.cpfd)
     rows = found.join(m, F.col("method") == F.col("seq"))
-    text = report.envy_text(name, F.col("dominant"), F.col("atfd"), F.col("lda"), F.col("cpfd"))
+    text = report.envy_text(name, F.col("dominant"), F.col("atfd"), F.col("lda"), F.col("cpfd"), even)
     return _issues(rows, rule, F.col("start_line"), F.col("start_col"), F.col("start_col") + F.length(name), text, F.col("file"), name)
 
 
@@ -289,8 +289,8 @@ RULES: dict[str, Rule] = {
 }
 
 
-def run(t: Tables, rule_id: str, settings: Any = None, alert: int | None = None) -> DataFrame:
-    """Issues of one rule with the user's ``settings`` and severity."""
+def run(t: Tables, rule_id: str, settings: Any = None, alert: int | None = None, **given: Any) -> DataFrame:
+    """Issues of one rule with the user's ``settings`` and severity; what else is ``given`` goes to the rule's function."""
     r = RULES[rule_id]
     r = Rule(r.rule_id, r.doc, r.make, r.options, r.level, r.severity, alert)
-    return r.make(t, O.parse(r.options, settings), r)
+    return r.make(t, O.parse(r.options, settings), r, **given)
