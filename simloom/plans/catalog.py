@@ -468,7 +468,7 @@ def q46_lcs(spark, sf):
 def q47_tokenize(spark, sf):
     both = spark.sql(X.SOURCES).select(F.col("id").cast("long").alias("file"), F.col("text").alias("content"))
     both = both.unionByName(load(spark, sf, "pages").select((F.col("page_id") + 1000).alias("file"), F.col("html").alias("content")))
-    return lexer.with_tokens(both).select("file", F.posexplode("tokens").alias("pos", "t")).select("file", "pos", "t.value", "t.type", "t.line", "t.column")
+    return lexer.token_rows(both)
 
 
 @query(f"SELECT file, len(list_distinct(ws))::BIGINT AS identifiers, coalesce('ID_' || (list_position(firsts, ws[-1]) - 1), '') AS last_id FROM (SELECT file, ws, list_transform(list_sort(list_transform(list_distinct(ws), lambda x: lpad(list_position(ws, x)::VARCHAR, 9, '0') || x)), lambda y: substr(y, 10)) AS firsts FROM (SELECT doc_id AS file, list_filter({_WORDS}, lambda w: length(w) > 1) AS ws FROM documents))")

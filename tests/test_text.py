@@ -109,3 +109,14 @@ def test_options():
 
 def test_fixture_literals(spark):
     assert spark.sql(fixtures.values("id, x", (1, "it's\na\\b"), (2, ""), (3, None))).orderBy("id").collect()[0].x == "it's\na\\b"
+
+
+def test_token_rows_leave_in_short_batches(spark, monkeypatch):
+    texts = ["let a = `x${b}` // c\n@D('e') f", None, "", "x += 1; " * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "file long, content string")
+    got = sorted(map(tuple, lexer.token_rows(df).collect()))
+    assert got == [(f, i, *t) for f, text in enumerate(texts) for i, t in enumerate(lexer.tokenize(text))] and len(got) > 20000
+    monkeypatch.setattr(lexer, "_AT_ONCE", 1000)
+    table = lexer.pa.RecordBatch.from_pydict({"file": [1, 2], "content": ["x += 1; " * 5000] * 2})
+    sizes = [b.num_rows for b in lexer._rows(iter([table]))]
+    assert sum(sizes) == 40000 and max(sizes) == 1000
