@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from simloom.functions import lexer
 from simloom.functions import text as T
 from simloom.functions.similarity import grams, lcs_similarity_udf
-from simloom.operators import clones, fragments, metrics, report
+from simloom.operators import clones, fragments, metrics, report, runs
 from simloom.operators.components import connected_components
 from simloom.plans import fixtures as X
 from simloom.scratch import materialize
@@ -330,18 +330,14 @@ def q29_rolling_hash(spark, sf):
     return load(spark, sf, "part").select("p_partkey", F.concat_ws("_", h(131, 1_000_000_007), h(137, 1_000_000_009)).alias("hash"))
 
 
-def _runs(spark, sf):
-    return fragments.merge_runs(fragments.window_pairs(document_tokens(spark, sf), WINDOW), WINDOW)
-
-
 @query(f"WITH {_RUNS} SELECT f1, s1::BIGINT AS s1, e1::BIGINT AS e1, f2, s2::BIGINT AS s2, e2::BIGINT AS e2, token_count::BIGINT AS token_count FROM runs")
 def q30_merged_runs(spark, sf):
-    return _runs(spark, sf)
+    return fragments.merge_runs(fragments.window_pairs(document_tokens(spark, sf), WINDOW), WINDOW)
 
 
 @query()
 def q31_greedy_dedup(spark, sf):
-    return fragments.greedy_dedup(fragments.drop_self_overlaps(_runs(spark, sf)))
+    return runs.window_runs(document_tokens(spark, sf), WINDOW, dedup=True)
 
 
 @query(rf"SELECT DISTINCT method, unnest(range(line, until + 1))::INTEGER AS line FROM (SELECT *, greatest(coalesce(lead(line) OVER (PARTITION BY method ORDER BY idx) - 1, end_line), line) AS until FROM ({X.LOGGED})) WHERE regexp_matches(text, '(?is)^\s*(console|hilog|logger)\.\w+\s*\(.*\)\s*$')")
