@@ -332,7 +332,7 @@ def q29_rolling_hash(spark, sf):
 
 @query(f"WITH {_RUNS} SELECT f1, s1::BIGINT AS s1, e1::BIGINT AS e1, f2, s2::BIGINT AS s2, e2::BIGINT AS e2, token_count::BIGINT AS token_count FROM runs")
 def q30_merged_runs(spark, sf):
-    return fragments.merge_runs(fragments.window_pairs(document_tokens(spark, sf), WINDOW), WINDOW)
+    return runs.window_runs(document_tokens(spark, sf), WINDOW)
 
 
 @query()
