@@ -95,6 +95,23 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 
     Where ``l1`` or ``l2`` is above 1, ``n`` is 1 and each of ``l1`` starts from ``s1`` on equals each of ``l2`` from ``s2`` on.
     """
+    yield from _gathered(_grouped(batches, size))
+
+
+def _gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few batches from many small ones."""
+    few, rows = [], 0
+    for part in parts:
+        few.append(part)
+        rows += part.num_rows
+        if rows > AT_ONCE >> 3:
+            yield pa.Table.from_batches(few).combine_chunks().to_batches()[0]
+            few, rows = [], 0
+    if few:
+        yield pa.Table.from_batches(few).combine_chunks().to_batches()[0]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     held: list[pa.Table] = []
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -254,7 +271,11 @@ def _within(batches: Iterator[pa.RecordBatch], size: int, dedup: bool) -> Iterat
         for file, ids in _texts(batch, size):
             if len(ids) < 2 * size:
                 continue
-            names, second = _names(ids, size, 2), _names(ids, size, 3)
+            names = _names(ids, size, 2)
+            ordered = np.sort(names)
+            if not (ordered[1:] == ordered[:-1]).any():
+                continue
+            second = _names(ids, size, 3)
             order = np.lexsort((second, names))  # stable, so starts ascend within equal windows
             new = np.r_[True, (names[order[1:]] != names[order[:-1]]) | (second[order[1:]] != second[order[:-1]])]
             group = np.cumsum(new) - 1
