@@ -36,8 +36,10 @@ from simloom.llm.bytetext import Texts, give_back, texts
 
 #: Pieces and token pairs a worker remembers before it starts over.
 REMEMBERED = 100_000
-#: Characters of text whose new pieces are encoded together.
-SLICE_CHARS = 2_000_000
+#: Characters of text that are split and looked up together.
+SLICE_CHARS = 500_000
+#: New pieces that go through the table together: its arrays take some hundred bytes a byte of them.
+PIECES = 16_384
 #: Longer pieces (bytes) are encoded one by one.
 TOGETHER = 24
 _NONE = 1 << 60
@@ -396,8 +398,10 @@ class _Pieces:
         data = [p.encode() for p in new]
         many = [i for i, b in enumerate(data) if len(b) <= TOGETHER and b not in self.encoder.ranks]
         ids = [None] * len(new)
-        for i, x in zip(many, self.table.encode([data[i] for i in many]), strict=True):
-            ids[i] = x
+        for at in range(0, len(many), PIECES):
+            part = many[at : at + PIECES]
+            for i, x in zip(part, self.table.encode([data[i] for i in part]), strict=True):
+                ids[i] = x
         have = now
         if len(now) + len(new) > 2 * REMEMBERED:
             have = {p: now[p] for p in pieces if p in now}  # this slice alone passes the bound: not remembered
@@ -406,6 +410,12 @@ class _Pieces:
             have[p] = ",".join(map(str, x)), self.encoder.decode(x)
         return have
 
+    def rest(self) -> None:
+        """Between tasks only the pieces met last stay: other stages run beside the idle worker."""
+        self.older = {}
+        if len(self.now) > REMEMBERED:
+            self.now = {}
+
 
 _LOADED: dict[tuple[bytes, str], tuple] = {}
 
@@ -442,6 +452,7 @@ def _encode(batches: Iterator[pa.RecordBatch], packed, pattern: str, with_ids: b
             if with_ids:
                 cols["ids"] = pa.array([list(map(int, x.split(","))) if x else [] for x in ids], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+    memory.rest()
     give_back()
 
 

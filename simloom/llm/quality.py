@@ -33,6 +33,8 @@ RULES: dict[str, str] = {
     "bullets": "n_lines >= 4 and 10 * n_bullet_lines > 9 * n_lines",
 }
 BASE = ("few_words", "repeated_windows")
+#: Bytes of text measured together; the arrays of places take some fifty times that.
+MEASURED_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -105,7 +107,7 @@ def _measure(t: Texts) -> dict[str, np.ndarray]:
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, t in sliced(batches, None):
+    for part, t in sliced(batches, None, MEASURED_BYTES):
         found = _measure(t)
         yield pa.RecordBatch.from_arrays([part.column("row")] + [pa.array(found[m]) for m in MEASURES], names=["row", *MEASURES])
 

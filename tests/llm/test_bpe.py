@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -76,3 +77,22 @@ def test_pieces_together_equal_one_by_one(tools, monkeypatch):
         known = memory.of(some)
         assert all(known[p] == (",".join(map(str, encoder.encode(p.encode()))), p.encode()) for p in some)
         assert len(memory.now) <= 100
+
+
+def test_memory_of_many_new_pieces(tools):
+    """What a slice of new pieces takes beside its results is bounded by the pieces that go through the table together."""
+    encoder, _ = tools
+    rnd = random.Random(3)
+    pieces = {"".join(rnd.choice("abcdefghij") for _ in range(12)) for _ in range(60_000)}
+    memory = bpe._Pieces(encoder, bpe.table_of(encoder))
+    memory.of(set(list(pieces)[:100]))
+    tracemalloc.start()
+    got = memory.of(pieces)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak - held < 60_000_000
+    assert all(got[p][1] == p.encode() and got[p][0] == ",".join(map(str, encoder.encode(p.encode()))) for p in list(pieces)[:300])
+    memory.now, memory.older = {str(i): ("0", b"!") for i in range(bpe.REMEMBERED + 1)}, got
+    memory.rest()
+    assert not memory.older and not memory.now
+    assert memory.of({"abc"})["abc"][1] == b"abc"

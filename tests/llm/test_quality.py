@@ -1,7 +1,9 @@
 import re
+import tracemalloc
 from collections import Counter
 
 import oracle
+import pyarrow as pa
 from simloom.llm import quality
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +60,15 @@ def test_against_sql(spark):
     from simloom.llm import queries
 
     oracle.compare(spark, oracle.connect(SF), queries.op4_quality_rules, quality.ORACLE, SF)
+
+
+def test_memory_of_a_batch():
+    """The arrays beside a batch of short texts are bounded by a slice, not by the batch."""
+    texts = [f"w{i} " * 5 + "lorem ipsum dolor sit amet " * 20 for i in range(4000)]
+    rows = pa.StructArray.from_arrays([pa.array(texts)], names=["text"])
+    batch = pa.RecordBatch.from_arrays([rows], names=["row"])
+    tracemalloc.start()
+    words = sum(sum(part.column("n_words").to_pylist()) for part in quality._measured(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert words == 105 * 4000 and peak < 40_000_000
