@@ -14,11 +14,11 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from simloom.functions.similarity import grams, lcs_similarity_udf
-from simloom.scratch import materialize
+from simloom.scratch import materialize, release
 
 
 def windows(tokens: DataFrame, size: int, stride: int = 1) -> DataFrame:
@@ -194,36 +194,176 @@ def greedy_dedup(runs: DataFrame) -> DataFrame:
     return runs.groupBy("f1", "f2").applyInPandas(_kept_runs, runs.schema)
 
 
+def _elements(grams_: np.ndarray) -> np.ndarray:
+    """Per row of gram names: the names of its multiset's elements, sorted; the k-th copy of a gram is an element of its own."""
+    s = np.sort(grams_, axis=1)
+    at = np.arange(s.shape[1])
+    first = np.ones(s.shape, dtype=bool)
+    first[:, 1:] = s[:, 1:] != s[:, :-1]
+    copy = (at - np.maximum.accumulate(np.where(first, at, 0), axis=1)).astype(np.uint64)
+    return np.sort(np.where(copy > 0, _mix(s ^ _mix(copy * np.uint64(0x9E3779B97F4A7C15))), s), axis=1)
+
+
+def _gram_names(ids: np.ndarray, q: int) -> np.ndarray:
+    """Names of the ``q`` numbers from each place on, along the last axis."""
+    n = ids.shape[-1] - q + 1
+    out = _mix(ids[..., :n] + np.uint64(0x632BE59BD9B4E019))
+    for j in range(1, q):
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) ^ ids[..., j : j + n])
+    return out
+
+
+def _block_places(batch: pa.RecordBatch, size: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word ids of all files of a batch; row, number and first place of each block."""
+    words = batch.column("ids")
+    flat, off = words.values.to_numpy(zero_copy_only=False).view(np.uint64), words.offsets.to_numpy().astype(np.int64)
+    count = np.maximum(0, (np.diff(off) - size) // stride + 1)
+    row = np.repeat(np.arange(batch.num_rows), count)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return flat, row, number, off[row] + number * stride
+
+
+#: Blocks whose elements are made, or compared, together.
+_TOGETHER = 2048
+
+
+def _block_heads(batches: Iterator[pa.RecordBatch], size: int, q: int, keep: int) -> Iterator[pa.RecordBatch]:
+    """``e, fh, at``: each block's ``keep`` smallest elements; ``at`` is twice its number, and one more where the next block has the element too."""
+    span = np.arange(size)
+    for batch in batches:
+        flat, row, number, place = _block_places(batch, size, max(1, size // 2))
+        names = batch.column("fh").to_numpy(zero_copy_only=False)
+        for a in range(0, len(row), _TOGETHER):
+            part = slice(a, a + _TOGETHER)
+            e = _elements(_gram_names(flat[place[part, None] + span], q))[:, :keep]
+            block = np.repeat(np.arange(a, a + len(e)), e.shape[1])
+            e = e.ravel()
+            order = np.lexsort((block, e))
+            e, block = e[order], block[order]
+            follows = np.zeros(len(e), dtype=bool)
+            follows[1:] = (e[1:] == e[:-1]) & (block[1:] == block[:-1] + 1) & (row[block[1:]] == row[block[:-1]])
+            at = np.arange(len(e))
+            odd = (at - np.maximum.accumulate(np.where(follows, 0, at))) % 2 == 1
+            both = np.zeros(len(e), dtype=bool)
+            both[:-1] = odd[1:]
+            e, block, both = e[~odd], block[~odd], both[~odd]
+            yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(names[row[block]]), pa.array((2 * number[block] + both).astype(np.int64))], names=["e", "fh", "at"])
+
+
+def _block_digests(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """``file, fh, no, x``: a 128-bit name of each block's content."""
+    span, stride = np.arange(size), max(1, size // 2)
+    for batch in batches:
+        flat, row, number, place = _block_places(batch, size, stride)
+        for a in range(0, len(row), _TOGETHER):
+            part = slice(a, a + _TOGETHER)
+            names = [xxhash.xxh3_128_digest(x) for x in flat[place[part, None] + span]]
+            files = batch.select(["file", "fh"]).take(pa.array(row[part]))
+            yield pa.RecordBatch.from_arrays([*files.columns, pa.array(number[part]), pa.array(names, pa.binary())], names=["file", "fh", "no", "x"])
+
+
+def _block_ids(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """``x, ids`` of the blocks that ``asked`` names by number and content."""
+    stride = max(1, size // 2)
+    for batch in batches:
+        words = batch.column("ids")
+        flat, off = words.values.to_numpy(zero_copy_only=False), words.offsets.to_numpy()
+        for row, asked in enumerate(batch.column("asked").to_pylist()):
+            places = [int(off[row]) + a["no"] * stride for a in asked]
+            packed = [flat[p : p + size].tobytes() for p in places]
+            yield pa.RecordBatch.from_arrays([pa.array([a["x"] for a in asked], pa.binary()), pa.array(packed, pa.binary())], names=["x", "ids"])
+
+
+def _lcs_lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each row of ``a`` with that of ``b``."""
+    last = np.zeros((len(a), b.shape[1] + 1), dtype=np.int32)
+    for i in range(a.shape[1]):
+        best = np.where(a[:, i, None] == b, last[:, :-1] + 1, last[:, 1:])
+        np.maximum.accumulate(best, axis=1, out=last[:, 1:])
+    return last[:, -1]
+
+
+def _block_similarity(pairs: pa.Table, contents: pa.Table, size: int, q: int, need: int) -> pa.Table:
+    """``x, y, similarity`` of the pairs of contents that share ``need`` elements."""
+    at = {x: i for i, x in enumerate(contents.column("content").to_pylist())}
+    ids = np.frombuffer(b"".join(contents.column("ids").to_pylist()), dtype=np.uint64).reshape(-1, size)
+    elements = _elements(_gram_names(ids, q))
+    x, y = (np.array([at[v] for v in pairs.column(c).to_pylist()], dtype=np.int64) for c in "xy")
+    good, similarity = [], []
+    for a in range(0, len(x), _TOGETHER):
+        i, j = x[a : a + _TOGETHER], y[a : a + _TOGETHER]
+        s = np.sort(np.concatenate([elements[i], elements[j]], axis=1), axis=1)
+        some = np.flatnonzero((s[:, 1:] == s[:, :-1]).sum(axis=1) >= need)
+        good.append(a + some)
+        similarity.append(2 * _lcs_lengths(ids[i[some]], ids[j[some]]) / (2 * size))
+    rows = pairs.select(["x", "y"]).take(pa.array(np.concatenate(good)))
+    return rows.append_column("similarity", pa.array(np.concatenate(similarity), pa.float64()))
+
+
+#: Pairs of one group of near copies that are compared in one task.
+_PAIRS = 20_000
+
+
 def near_blocks(tokens: DataFrame, size: int, threshold: float, q: int = 3) -> DataFrame:
     """Half-overlapping blocks with threshold <= LCS similarity < 1, q-gram Jaccard >= 0.7 * threshold first.
 
-    Candidates come from a prefix filter on the rarest q-grams, which loses
-    no pair of the asked Jaccard similarity.
+    Blocks have equally many grams, so the asked Jaccard similarity is a
+    number of shared elements, and of these the ``common`` smallest are among
+    the ``keep`` smallest of both blocks. Blocks with fewer such elements that
+    any other place has leave first; a prefix filter on the rarest ones of the
+    others loses no pair. Contents are compared once, whatever their copies;
+    the pairs of places arise in the result only.
     """
-    bound = 0.7 * threshold
-    blocks = windows(tokens, size, size // 2).withColumn("block", F.concat_ws(":", "file", "start"))
-    blocks = materialize(blocks.withColumn("gr", grams(F.col("w"), q)), "blocks")
-    flat = blocks.select("block", F.explode("gr").alias("g"))
-    # The k-th occurrence of a gram is an element of its own, so multisets become sets.
-    element = F.row_number().over(Window.partitionBy("block", "g").orderBy("g"))
-    sets = flat.select("block", F.xxhash64("g", element).alias("g"))
-    freq = sets.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ranked = sets.join(freq.where("df > 1"), "g", "left").select("block", "g", F.coalesce("df", F.lit(1)).alias("df"))
-    n = size - q + 1
-    prefix = n - -int(-bound * n // 1) + 1
-    place = F.row_number().over(Window.partitionBy("block").orderBy("df", "g"))
-    heads = ranked.withColumn("place", place).where((F.col("place") <= prefix) & (F.col("df") > 1)).select("block", "g")
-    cand = heads.alias("a").join(heads.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.block") < F.col("b.block"))).select(F.col("a.block").alias("b1"), F.col("b.block").alias("b2")).distinct()
-    # Elements are distinct within a block, so shared ones add up to the smaller counts.
-    elements = materialize(sets.groupBy("block").agg(F.collect_list("g").alias("els")), "block-elements")
-    rows = blocks.select("block", "file", "start", "w").join(elements, "block")
-    side = lambda i: rows.select(*[F.col(c).alias(f"{n}{i}") for c, n in (("block", "b"), ("file", "f"), ("start", "s"), ("w", "w"), ("els", "g"))])
-    pairs = cand.join(side(1), "b1").join(side(2), "b2")
+    if size <= 0:
+        raise ValueError("window size must be positive")
+    bound, n, stride = 0.7 * threshold, size - q + 1, max(1, size // 2)
+    need = next((k for k in range(1, n + 1) if k >= bound * (2 * n - k)), None)
+    kind = dict(tokens.dtypes)["file"]
+    if need is None:
+        return tokens.sparkSession.createDataFrame([], f"f1 {kind}, s1 long, f2 {kind}, s2 long, similarity double")
+    common = min(11, need)
+    keep = n - need + common
+    ids = tokens.where(F.size("tokens") >= size).select("file", F.xxhash64("file").alias("fh"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("ids"))
+    heads = ids.select("fh", "ids").mapInArrow(partial(_block_heads, size=size, q=q, keep=keep), "e long, fh long, at long")
+    seen = heads.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("e"))).where("df > 1")
+    both = F.when(F.col("at") % 2 == 1, F.array(F.expr("at div 2"), F.expr("at div 2 + 1"))).otherwise(F.array(F.expr("at div 2")))
+    kept = seen.select("fh", F.explode(both).alias("no"), "df", "e").groupBy("fh", "no").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("els")).where(F.size("els") >= common)
+    kept = materialize(kept.select("fh", "no", F.col("els.e").alias("els")), "near-block-elements")
+
+    digests = ids.mapInArrow(partial(_block_digests, size=size), f"file {kind}, fh long, no long, x binary")
+    blocks = materialize(digests.join(kept, ["fh", "no"]), "near-block-places")
+    release(kept)
+    # Equal contents have equal elements and so are kept together; the frequency order is the same in all of them.
+    contents = blocks.groupBy("x").agg(F.first("els").alias("els"), F.min(F.struct("fh", "no")).alias("at"))
+    contents = materialize(contents.select("x", "els", "at.fh", "at.no"), "near-block-contents")
+    heads = contents.select("x", F.explode(F.expr(f"slice(els, 1, size(els) - {common - 1})")).alias("e"))
+    cand = heads.alias("a").join(heads.alias("b"), (F.col("a.e") == F.col("b.e")) & (F.col("a.x") < F.col("b.x"))).select(F.col("a.x").alias("x"), F.col("b.x").alias("y")).distinct()
+    side = lambda c, i: contents.select(F.col("x").alias(c), F.col("els").alias(f"els{i}"))
+    pairs = cand.join(side("x", 1), "x").join(side("y", 2), "y").where(F.size(F.array_intersect("els1", "els2")) >= common)
+    pairs = materialize(pairs.select("x", "y"), "near-block-pairs")
+
+    # Pairs go to the first near content of their first one, so a group's contents travel once for every _PAIRS pairs, not for each.
+    first = pairs.groupBy(F.col("y").alias("x")).agg(F.min("x").alias("lead"))
+    led = pairs.join(first, "x", "left").withColumn("lead", F.coalesce("lead", "x"))
+    parts = led.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / _PAIRS).alias("parts"))
+    dealt = materialize(led.join(parts, "lead").select("lead", F.pmod(F.xxhash64("y"), F.col("parts")).alias("part"), "x", "y"), "near-block-pairs-dealt")
+    release(pairs)
+    sent = dealt.select("lead", "part", "x").unionByName(dealt.select("lead", "part", F.col("y").alias("x"))).distinct()
+    used = contents.join(dealt.select("x").unionByName(dealt.select(F.col("y").alias("x"))).distinct(), "x", "left_semi")
+    asked = used.groupBy("fh").agg(F.collect_list(F.struct("no", "x")).alias("asked"))
+    # A file's name that stands twice would give its contents twice.
+    words = ids.join(asked, "fh").select("ids", "asked").mapInArrow(partial(_block_ids, size=size), "x binary, ids binary").dropDuplicates(["x"])
+    sent = sent.join(words, "x").select(F.col("lead").alias("to"), F.col("part").alias("nth"), F.col("x").alias("content"), "ids")
+    compare = lambda p, c: _block_similarity(p, c, size, q, need)
+    scored = dealt.groupBy("lead", "part").cogroup(sent.groupBy("to", "nth")).applyInArrow(compare, "x binary, y binary, similarity double")
+    scored = materialize(scored.where((F.col("similarity") >= threshold) & (F.col("similarity") < 1)), "near-block-scores")
+    release(contents, dealt)
+
+    name = lambda i: F.concat_ws(":", f"f{i}", f"s{i}")
+    place = lambda c, i: blocks.select(F.col("x").alias(c), F.col("file").alias(f"f{i}"), (F.col("no") * stride).alias(f"s{i}"))
     apart = (F.col("f1") != F.col("f2")) | (F.abs(F.col("s1") - F.col("s2")) >= size)
-    smin = F.size(F.array_intersect("g1", "g2"))
-    passed = pairs.where(apart & (F.col("w1") != F.col("w2"))).withColumn("smin", smin).where(F.col("smin") >= bound * (2 * n - F.col("smin")))
-    scored = materialize(passed.select("f1", "s1", "f2", "s2", lcs_similarity_udf("w1", "w2").alias("similarity")), "near-blocks")
-    return scored.where((F.col("similarity") >= threshold) & (F.col("similarity") < 1))
+    found = scored.unionByName(scored.select(F.col("y").alias("x"), F.col("x").alias("y"), "similarity"))
+    return found.join(place("x", 1), "x").join(place("y", 2), "y").where(apart & (name(1) < name(2))).select("f1", "s1", "f2", "s2", "similarity")
 
 
 def enclosing_method(ranges: DataFrame, methods: DataFrame) -> DataFrame:

@@ -76,6 +76,28 @@ def test_near_blocks(spark):
     assert len(want) > 20 and sorted(g if g[:2] < g[2:4] else (*g[2:4], *g[:2], g[4]) for g in got) == want
 
 
+def test_near_blocks_of_copies(spark, monkeypatch):
+    """Contents are compared once whatever their copies, no words are written, and no pair of places is lost."""
+    rnd = random.Random(8)
+    one = [f"a{rnd.randrange(10**6)}" for _ in range(20)]
+    two, far = [*one[:17], "x", "y", "z"], [f"b{i}" for i in range(20)]
+    files = {i: (one, two)[i % 2] if i < 24 else far for i in range(26)}
+    written, keep = [], fragments.materialize
+
+    def watched(df, name):
+        back = keep(df, name)
+        written.append((name, back.count(), [t for _, t in back.dtypes]))
+        return back
+
+    monkeypatch.setattr(fragments, "materialize", watched)
+    got = fragments.near_blocks(tokens(spark, files), 20, 0.7).collect()
+    assert sorted((min(r.f1, r.f2), max(r.f1, r.f2)) for r in got) == sorted((i, j) for i in range(24) for j in range(i + 1, 24) if (i + j) % 2)
+    assert {round(r.similarity, 6) for r in got} == {0.85} and all((r.s1, r.s2) == (0, 0) for r in got)
+    assert not any(t.startswith("array<string") for _, _, types in written for t in types)
+    assert all(n <= len(files) for _, n, _ in written)
+    assert fragments.near_blocks(tokens(spark, {1: ["a"], 2: []}), 20, 0.7).count() == 0
+
+
 def test_near_miss_methods(spark):
     rnd = random.Random(6)
     rows = []
