@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from simloom.scratch import materialize, release
+from simloom.scratch import free_shuffles, materialize, release
 
 
 def windows(tokens: DataFrame, size: int, stride: int = 1) -> DataFrame:
@@ -270,8 +270,10 @@ def _block_ids(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
         flat, off = words.values.to_numpy(zero_copy_only=False), words.offsets.to_numpy()
         for row, asked in enumerate(batch.column("asked").to_pylist()):
             places = [int(off[row]) + a["no"] * stride for a in asked]
-            packed = [flat[p : p + size].tobytes() for p in places]
-            yield pa.RecordBatch.from_arrays([pa.array([a["x"] for a in asked], pa.binary()), pa.array(packed, pa.binary())], names=["x", "ids"])
+            found = [(a["x"], flat[p : p + size]) for a, p in zip(asked, places, strict=True)]
+            # Where a file's name stands twice, only the one that has the content gives it.
+            found = [(x, v.tobytes()) for x, v in found if xxhash.xxh3_128_digest(np.ascontiguousarray(v)) == x]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([v for _, v in found], pa.binary())], names=["x", "ids"])
 
 
 def _lcs_lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -329,18 +331,19 @@ def near_blocks(tokens: DataFrame, size: int, threshold: float, q: int = 3) -> D
     both = F.when(F.col("at") % 2 == 1, F.array(F.expr("at div 2"), F.expr("at div 2 + 1"))).otherwise(F.array(F.expr("at div 2")))
     kept = seen.select("fh", F.explode(both).alias("no"), "df", "e").groupBy("fh", "no").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("els")).where(F.size("els") >= common)
     kept = materialize(kept.select("fh", "no", F.col("els.e").alias("els")), "near-block-elements")
+    free_shuffles(tokens.sparkSession)
 
     digests = ids.mapInArrow(partial(_block_digests, size=size), f"file {kind}, fh long, no long, x binary")
     blocks = materialize(digests.join(kept, ["fh", "no"]), "near-block-places")
     release(kept)
+    free_shuffles(tokens.sparkSession)
     # Equal contents have equal elements and so are kept together; the frequency order is the same in all of them.
     contents = blocks.groupBy("x").agg(F.first("els").alias("els"), F.min(F.struct("fh", "no")).alias("at"))
     contents = materialize(contents.select("x", "els", "at.fh", "at.no"), "near-block-contents")
     heads = contents.select("x", F.explode(F.expr(f"slice(els, 1, size(els) - {common - 1})")).alias("e"))
     cand = heads.alias("a").join(heads.alias("b"), (F.col("a.e") == F.col("b.e")) & (F.col("a.x") < F.col("b.x"))).select(F.col("a.x").alias("x"), F.col("b.x").alias("y")).distinct()
-    side = lambda c, i: contents.select(F.col("x").alias(c), F.col("els").alias(f"els{i}"))
-    pairs = cand.join(side("x", 1), "x").join(side("y", 2), "y").where(F.size(F.array_intersect("els1", "els2")) >= common)
-    pairs = materialize(pairs.select("x", "y"), "near-block-pairs")
+    pairs = materialize(cand, "near-block-pairs")
+    free_shuffles(tokens.sparkSession)
 
     # Pairs go to the first near content of their first one, so a group's contents travel once for every _PAIRS pairs, not for each.
     first = pairs.groupBy(F.col("y").alias("x")).agg(F.min("x").alias("lead"))
@@ -348,16 +351,17 @@ def near_blocks(tokens: DataFrame, size: int, threshold: float, q: int = 3) -> D
     parts = led.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / _PAIRS).alias("parts"))
     dealt = materialize(led.join(parts, "lead").select("lead", F.pmod(F.xxhash64("y"), F.col("parts")).alias("part"), "x", "y"), "near-block-pairs-dealt")
     release(pairs)
+    free_shuffles(tokens.sparkSession)
     sent = dealt.select("lead", "part", "x").unionByName(dealt.select("lead", "part", F.col("y").alias("x"))).distinct()
     used = contents.join(dealt.select("x").unionByName(dealt.select(F.col("y").alias("x"))).distinct(), "x", "left_semi")
     asked = used.groupBy("fh").agg(F.collect_list(F.struct("no", "x")).alias("asked"))
-    # A file's name that stands twice would give its contents twice.
-    words = ids.join(asked, "fh").select("ids", "asked").mapInArrow(partial(_block_ids, size=size), "x binary, ids binary").dropDuplicates(["x"])
+    words = ids.join(asked, "fh").select("ids", "asked").mapInArrow(partial(_block_ids, size=size), "x binary, ids binary")
     sent = sent.join(words, "x").select(F.col("lead").alias("to"), F.col("part").alias("nth"), F.col("x").alias("content"), "ids")
     compare = lambda p, c: _block_similarity(p, c, size, q, need)
     scored = dealt.groupBy("lead", "part").cogroup(sent.groupBy("to", "nth")).applyInArrow(compare, "x binary, y binary, similarity double")
     scored = materialize(scored.where((F.col("similarity") >= threshold) & (F.col("similarity") < 1)), "near-block-scores")
     release(contents, dealt)
+    free_shuffles(tokens.sparkSession)
 
     name = lambda i: F.concat_ws(":", f"f{i}", f"s{i}")
     place = lambda c, i: blocks.select(F.col("x").alias(c), F.col("file").alias(f"f{i}"), (F.col("no") * stride).alias(f"s{i}"))

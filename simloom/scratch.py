@@ -65,6 +65,11 @@ def release(*tables: DataFrame) -> None:
             _delete(t.sparkSession, path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so once the driver has collected their plans."""
+    spark._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every intermediate table of this application; results not yet written elsewhere are lost."""
     while _TABLES:
